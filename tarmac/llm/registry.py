@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tarmac.llm.bpe import op3_bpe
+from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op8_secrets": op8_secrets,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
