@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tarmac.llm.bpe import op3_bpe
 from tarmac.llm.decontaminate import op6_decontaminate
+from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_bpe": op3_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op8_secrets": op8_secrets,
