@@ -7,9 +7,11 @@ from tarmac.llm.decontaminate import op6_decontaminate
 from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
+from tarmac.llm.simhash import op2_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op8_secrets": op8_secrets,
