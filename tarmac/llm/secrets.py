@@ -19,7 +19,7 @@ from re import _parser as sre_parse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents
+from tarmac.llm.common import documents, fresh
 
 
 @dataclass(frozen=True)
@@ -189,20 +189,17 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans``: array of (start, rule, end) in order of start, then rule; rule is the number in ``rules``."""
-    found = candidates(docs, rules, key, text)
+    posted, asked = fresh(docs, "posted"), fresh(docs, "rules")
+    found = candidates(docs, rules, key, text).toDF(posted, asked)
     body = F.coalesce(F.col(text), F.lit(""))
+    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     each = []
     for i, rule in enumerate(rules):
         spans = _spans(body, rule, i)
         if trigram_query(rule.regex) is not None:
-            spans = F.when(F.array_contains("rules", i), spans).otherwise(F.array().cast("array<struct<start:int,rule:int,end:int>>"))
+            spans = F.when(F.array_contains(F.coalesce(asked, F.array().cast("array<int>")), i), spans).otherwise(none)
         each.append(spans)
-    return (
-        docs.join(found, docs[key].eqNullSafe(found["posted"]), "left")
-        .withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
-        .withColumn("secret_spans", F.array_sort(F.concat(*each)))
-        .drop("posted", "rules")
-    )
+    return docs.join(found, F.col(key).eqNullSafe(F.col(posted)), "left").withColumn("secret_spans", F.array_sort(F.concat(*each))).drop(posted, asked)
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tarmac.llm.common import documents, written
+from tarmac.llm.common import documents, fresh, written
 from tarmac.llm.graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -209,9 +209,10 @@ def classes(docs: DataFrame, width: int, radius: int = 3, key: str = "doc_id", t
 
 
 def deduplicated(docs: DataFrame, width: int = 5, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the least of its class; rows that share a key stay or go together, rows without a key stay if no other has one."""
-    gone = classes(docs, width, radius, key, text).filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(F.col("gone")), "left_anti")
+    """The rows of ``docs`` whose key is the least of its class; rows that share a key stay or go together, rows without a key can't be told apart and stay."""
+    own = fresh(docs, "gone")
+    gone = classes(docs, width, radius, key, text).filter(F.col(key) > F.col("component_id")).select(F.col(key).alias(own)).distinct()
+    return docs.join(gone, F.col(key) == F.col(own), "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

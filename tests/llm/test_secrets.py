@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-import pytest
+from pyspark.sql import functions as F
 
 from tarmac.llm.secrets import RULES, joined, op8_secrets, redacted, scanned, trigram_query
 
@@ -43,7 +43,7 @@ def test_trigram_queries():
 
 def test_spans_match_brute_force(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[4], "x"), (3, TEXTS[6], "y"), (3, TEXTS[6], "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, rule string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rules string").withColumn("posted", F.lit(1))
     got = scanned(docs).collect()
     assert len(got) == len(rows)
     for r in got:
