@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,24 +53,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_block(df: DataFrame, key: str, rows: int) -> tuple[Column, int]:
-    """An expression for the block of ``key`` and the number of blocks.
+def range_block(df: DataFrame, key: str, text: str, size: int) -> tuple[Column, int]:
+    """An expression for the block of ``key``, and the bytes of all texts.
 
-    Blocks follow the order of the key and hold about ``rows`` rows: the key is cut at up to 500 approximate quantiles, and each stretch between two of them into equal widths. One small aggregate over the key column; equal keys share a block, nulls have block 0.
+    Blocks follow the order of the key and hold about ``size`` bytes of text: the key is cut at up to 500 approximate quantiles, and each stretch between two of them into equal widths. One aggregate over key and text lengths; equal keys share a block, nulls have block 0.
     """
-    step = 500
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, [i / step for i in range(step + 1)], 5000).alias("q")).first()
-    blocks = max(1, -(-got["n"] // max(1, rows)))
-    cuts = sorted(set(got["q"] or [0]))
-    segments = min(step, blocks)
-    cuts = sorted({cuts[round(i * (len(cuts) - 1) / segments)] for i in range(segments)}) or [0]
-    parts = max(1, -(-blocks // len(cuts)))
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    last = cuts[-1] + max(1, (cuts[-1] - cuts[0]) // max(1, len(cuts) - 1) if len(cuts) > 1 else int((got["q"] or [0])[-1]) - cuts[0] + 1)
-    k = F.col(key)
-    segment = F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= k)))
-    low = F.element_at(bounds, segment)
-    high = F.element_at(F.array(*[F.lit(int(c)).cast("long") for c in [*cuts[1:], last]]), segment)
-    within = F.floor((k - low).cast("double") * parts / F.greatest(F.lit(1), high - low).cast("double"))
+    most = 500
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes"), F.percentile_approx(key, [i / most for i in range(most + 1)], 5000).alias("q")).first()
+    total = got["bytes"] or 0
+    blocks = max(1, -(-total // size))
+    quantiles = got["q"] or [0]
+    cuts = sorted({quantiles[round(i * most / min(most, blocks))] if len(quantiles) > most else quantiles[0] for i in range(min(most, blocks) + 1)})
+    low, high = cuts[:-1] or cuts, cuts[1:] or [cuts[0] + 1]
+    parts = max(1, -(-blocks // len(low)))
+    k, longs = F.col(key), lambda x: F.array(*[F.lit(int(c)).cast("long") for c in x])
+    segment = F.greatest(F.lit(1), F.size(F.filter(longs(low), lambda b: b <= k)))
+    start, end = F.element_at(longs(low), segment), F.element_at(longs(high), segment)
+    within = F.floor((k - start).cast("double") * parts / F.greatest(F.lit(1), end - start).cast("double"))
     block = (segment - 1) * parts + F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1))
-    return F.coalesce(block, F.lit(0)).cast("long"), len(cuts) * parts
+    return F.coalesce(block, F.lit(0)).cast("long"), total
+
+
+def in_order(table: pa.Table, key: str, text: str) -> pa.Table:
+    """Rows by key, then text; nulls first."""
+    return table.take(pc.sort_indices(table, sort_keys=[(key, "ascending"), (text, "ascending")], null_placement="at_start"))

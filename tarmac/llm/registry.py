@@ -8,12 +8,14 @@ from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
 from tarmac.llm.simhash import op2_simhash
+from tarmac.llm.windows import op7_windows
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_windows": op7_windows,
     "op8_secrets": op8_secrets,
     "op10_sharding": op10_sharding,
 }
