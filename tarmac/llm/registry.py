@@ -8,6 +8,7 @@ from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
 from tarmac.llm.simhash import op2_simhash
+from tarmac.llm.suffixes import op9_suffixes
 from tarmac.llm.windows import op7_windows
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_windows": op7_windows,
     "op8_secrets": op8_secrets,
+    "op9_suffixes": op9_suffixes,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
