@@ -53,15 +53,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_block(df: DataFrame, key: str, text: str, size: int) -> tuple[Column, int]:
+def range_block(df: DataFrame, key: str, text: str, size: int, most_blocks: int = 1 << 40) -> tuple[Column, int]:
     """An expression for the block of ``key``, and the bytes of all texts.
 
-    Blocks follow the order of the key and hold about ``size`` bytes of text: the key is cut at up to 500 approximate quantiles, and each stretch between two of them into equal widths. One aggregate over key and text lengths; equal keys share a block, nulls have block 0.
+    Blocks follow the order of the key and hold about ``size`` bytes of text: the key is cut at up to 500 approximate quantiles, and each stretch between two of them into equal widths. One aggregate over key and text lengths; equal keys share a block, nulls have block 0. Blocks grow rather than that there be more than about ``most_blocks``.
     """
     most = 500
     got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes"), F.percentile_approx(key, [i / most for i in range(most + 1)], 5000).alias("q")).first()
     total = got["bytes"] or 0
-    blocks = max(1, -(-total // size))
+    blocks = max(1, min(most_blocks, -(-total // size)))
     quantiles = got["q"] or [0]
     cuts = sorted({quantiles[round(i * most / min(most, blocks))] if len(quantiles) > most else quantiles[0] for i in range(min(most, blocks) + 1)})
     low, high = cuts[:-1] or cuts, cuts[1:] or [cuts[0] + 1]

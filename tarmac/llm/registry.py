@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarmac.llm.bpe import op3_bpe
 from tarmac.llm.decontaminate import op6_decontaminate
+from tarmac.llm.fingerprints import op4_fingerprints
 from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op6_decontaminate": op6_decontaminate,
     "op7_windows": op7_windows,
     "op8_secrets": op8_secrets,
