@@ -5,6 +5,7 @@ from __future__ import annotations
 from tarmac.llm.bpe import op3_bpe
 from tarmac.llm.decontaminate import op6_decontaminate
 from tarmac.llm.fingerprints import op4_fingerprints
+from tarmac.llm.licenses import op5_licenses
 from tarmac.llm.quality import op1_quality
 from tarmac.llm.secrets import op8_secrets
 from tarmac.llm.sharding import op10_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_fingerprints": op4_fingerprints,
+    "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_windows": op7_windows,
     "op8_secrets": op8_secrets,
