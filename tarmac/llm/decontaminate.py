@@ -110,23 +110,27 @@ class Matcher:
         return best
 
 
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, tolerance: int, least_chars: int, block_chars: int) -> Iterator[tuple[list, list]]:
+    """Of each block: (number, common form, errors allowed) and the keys by number."""
+    items = benchmark.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = max(1, -(-2 * size // block_chars))
+    block = F.pmod(F.xxhash64("t", "k"), F.lit(blocks))
+    for i in range(blocks):
+        rows = [(r.k, common_form(r.t)) for r in items.filter(block == i).orderBy("k", "t").toLocalIterator()]
+        rows = [(k, form) for k, form in rows if len(form) >= least_chars]
+        yield [(n, form, len(form) // tolerance) for n, (_, form) in enumerate(rows)], [k for k, _ in rows]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", tolerance: int = 16, least_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
     """One row for each document and item found in it: key, item_key, distance, allowed, start, end (offsets in bytes of the common form)."""
-    spark = docs.sparkSession
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType),
         T.StructField("distance", T.IntegerType()), T.StructField("allowed", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     ])
-    items = benchmark.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_chars))
-    block = F.pmod(F.xxhash64("t", "k"), F.lit(blocks))
     found = []
-    for i in range(blocks):
-        rows = [(r.k, common_form(r.t)) for r in items.filter(block == i).orderBy("k", "t").toLocalIterator()]
-        rows = [(k, form, len(form) // tolerance) for k, form in rows if len(form) >= least_chars]
-        keys = pa.array([k for k, _, _ in rows], to_arrow_type(schema[1].dataType))
-        shared = spark.sparkContext.broadcast(([(n, form, e) for n, (_, form, e) in enumerate(rows)], keys))
+    for items, keys in _blocks(benchmark, item_key, item_text, tolerance, least_chars, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast((items, pa.array(keys, to_arrow_type(schema[1].dataType))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, keys = shared.value
@@ -144,6 +148,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return reduce(DataFrame.union, found)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", tolerance: int = 16, least_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no item; judged row by row, so neither ids nor a shuffle are needed."""
+    where = docs.columns.index(text)
+    for items, _ in _blocks(benchmark, item_key, item_text, tolerance, least_chars, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.found(t.as_py()) for t in batch.column(where)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which benchmark items, with at most one edit in 16 characters."""
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarmac.llm.decontaminate import Matcher, Pattern, common_form, contaminated, op6_decontaminate
+from tarmac.llm.decontaminate import Matcher, Pattern, common_form, contaminated, op6_decontaminate, uncontaminated
 
 
 def least_distance(pattern, text):
@@ -57,6 +57,7 @@ def test_tables(spark):
     for block_chars in (8_000_000, 100):
         got = sorted((str(r.doc_id), str(r.item_id), r.distance) for r in contaminated(docs, items, block_chars=block_chars).collect())
         assert got == sorted((d, i, n) for d, n in [("1", 0), ("1", 0), ("2", 0), ("3", 1), ("None", 0), ("7", 0)] for i in ("10", "None"))
+        assert sorted(r.doc_id for r in uncontaminated(docs, items, block_chars=block_chars).collect()) == [4, 5, 6]
     assert contaminated(docs.limit(0), items).count() == 0
     assert contaminated(docs, items.limit(0)).count() == 0
 
