@@ -1,0 +1,176 @@
+import datetime as dt
+import json
+from dataclasses import replace
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarmac import config
+from tarmac.functions import windows
+from tarmac.operators import airline_status, airport_ranking, merge, replay
+from tarmac.operators.ordered import highest_before, numbered
+from tarmac.plans import dashboards, experiments
+from tarmac.schema import FLIGHT, Q1, Q2, RAW
+from tarmac.sources import avro
+from tarmac.sources import flights as source
+
+T = dt.datetime
+
+
+def flight(n, at, airline="AA", origin=1, dest=2, delay=0.0, cancelled=0.0, diverted=0.0):
+    return (n, at, airline, origin, dest, delay, cancelled, diverted)
+
+
+SCHEMA = "event_id long, rowtime timestamp_ntz, airline string, origin_airport_id int, dest_airport_id int, dep_delay double, cancelled double, diverted double"
+
+
+def test_status_and_nulls(spark):
+    at = T(2025, 2, 10, 1, 5)
+    rows = [
+        flight(1, at, "UA", cancelled=1.0, delay=None), flight(2, at, "AA", delay=16.0), flight(3, at, "AA", delay=None), flight(4, at, "AA", cancelled=None, diverted=None, delay=15.0),
+        flight(5, at, "AA", cancelled=1.0, diverted=1.0, delay=99.0), flight(6, at, "ZZ"), flight(7, T(2025, 2, 10, 2, 0), "AA", delay=1.0),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for got in (airline_status.status(df), airline_status.status_sql(df), airline_status.merged(airline_status.partials(df))):
+        by = {(r.airline, r.window_start.hour): r for r in got.collect()}
+        assert got.schema.names == Q1.names and len(by) == 3
+        ua, aa = by["UA", 1], by["AA", 1]
+        assert (ua.num_flights, ua.completed, ua.cancelled, ua.dep_delay_mean, ua.cancellation_rate, ua.late_departure_rate) == (1, 0, 1, None, 100.0, None)
+        assert (aa.num_flights, aa.completed, aa.cancelled, aa.diverted, aa.dep_delay_mean, aa.cancellation_rate) == (4, 3, 1, 1, 15.5, 25.0)
+        assert aa.late_departure_rate == 1 * 100.0 / 3
+        assert airline_status.status(df.limit(0)).count() == 0
+
+
+def test_ranking_forms_agree_and_cut(spark):
+    at = T(2025, 1, 1)
+    rows = [flight(i, at + dt.timedelta(minutes=i % 300), "AA" if i % 3 else None, i % 14, i % 7 or None, float(i % 90), cancelled=float(i % 11 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = airport_ranking.ranking(df, windows.SIX_HOURS, 30), airport_ranking.ranking_stream(df, windows.SIX_HOURS, 30)
+    assert a.schema.names == b.schema.names == Q2.names
+    got = sorted(a.collect())
+    assert got == sorted(b.collect())
+    assert [r.airport_rank for r in got] == list(range(1, 11))
+    assert all(r.delayed_flights.count("(") <= 20 for r in got) and "(AA,0," in "".join(r.delayed_flights for r in got)
+    assert airport_ranking.ranking(df, windows.SIX_HOURS, 10_000).count() == 0
+
+
+def test_prepared_events(spark):
+    cases = [
+        (("2025", "1", "15", "0930"), T(2025, 1, 15, 9, 30)), (("2025", "1", "15", "2400"), T(2025, 1, 15)), (("2025", "1", "15", "1275"), T(2025, 1, 1)), (("2025", "2", "30", "0800"), T(2025, 2, 1)),
+        (("2025", "3", "00", "0800"), T(2025, 3, 1, 8)), (("2025", "13", "5", "0800"), T(2025, 12, 5, 8)), (("2025", "1", "15", None), T(2025, 1, 15)), ((None, "1", "15", "0800"), None), (("2025", "x", "15", " 800 "), T(2025, 1, 15, 8)),
+    ]
+    raw = spark.createDataFrame([(*c, " AA\t", None if i else "5.5") for i, (c, _) in enumerate(cases)], "YEAR string, MONTH string, DAY_OF_MONTH string, CRS_DEP_TIME string, OP_UNIQUE_CARRIER string, DEP_DELAY string")
+    got = source.prepared(raw).collect()
+    assert source.prepared(raw).schema.names == FLIGHT.names
+    assert [r.event_time for r in got] == [None if t is None else int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000) for _, t in cases]
+    assert {r.airline for r in got} == {"AA"} and got[0].dep_delay == 5.5 and got[1].dep_delay is None
+    assert {r.arr_delay for r in source.prepared(raw, "zero").collect()} == {0.0}
+    with pytest.raises(ValueError):
+        source.prepared(raw, "mean")
+
+
+def test_scan_discovers_files(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("MONTH,YEAR,other\n2,2025,x\n")
+    (tmp_path / "a.csv").write_text("YEAR,DEP_DELAY\n2024,1.5\n")
+    (tmp_path / "lookup.csv").write_text("Code,Description\nA,Carrier\n")
+    (tmp_path / "note.txt").write_text("no")
+    assert [f.rpartition("/")[2] for f in source.csv_files(spark, str(tmp_path))] == ["a.csv", "b.csv", "lookup.csv"]
+    got = source.scan(spark, str(tmp_path))
+    assert got.columns == RAW and sorted((r.YEAR, r.MONTH, r.DEP_DELAY) for r in got.collect()) == [("2024", None, "1.5"), ("2025", "2", None)]
+    with pytest.raises(FileNotFoundError):
+        source.csv_files(spark, str(tmp_path / "none"))
+    events = source.prepared(got)
+    for form in ("parquet", "csv"):
+        source.write_prepared(events, str(tmp_path / form), form)
+        source.write_prepared(events.limit(0), str(tmp_path / form), form)  # there already
+        assert sorted(r.year for r in source.read_prepared(spark, str(tmp_path / form), form).collect()) == [2024, 2025]
+
+
+def test_order_without_one_task(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(500)] + [(None, 900), (None, 901)]
+    df = spark.createDataFrame(rows, "v long, id long")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = numbered(df, F.floor(F.col("v") / 37), ["v", "id"], "n").collect()
+    assert [(r.v, r.id) for r in sorted(got, key=lambda r: r.n)] == order and sorted(r.n for r in got) == list(range(1, 503))
+    high = {r.id: r.h for r in highest_before(df, F.floor(F.col("v") / 37), ["v", "id"], "id", "h").collect()}
+    best = None
+    for _, i in order:
+        assert high[i] == best
+        best = i if best is None else max(best, i)
+
+
+def test_disorder_is_checked():
+    for bad in ({"probability": 1.5}, {"acceleration": 0}, {"distribution": "normal"}, {"delay": -1}, {"mean": 0}):
+        with pytest.raises(ValueError):
+            replay.Disorder(**bad)
+    assert replay.Disorder(delay=120).mean_delay == 40
+
+
+def test_loss_falls_as_the_watermark_waits(spark):
+    rows = source.flights(spark, "/root/testdata/sf0.01").filter("airline <> 'signup'")
+    d = replay.Disorder(0.3, 3600, "uniform")
+    lost = [replay.loss(rows, d, s, source.EVENT_AIRLINES).agg(F.sum("late_events")).first()[0] for s in (0, 300, 1800, 3600)]
+    assert lost == sorted(lost, reverse=True) and lost[0] > 0 and lost[-1] == 0
+    assert replay.loss(rows, replace(d, probability=0.0), 0, source.EVENT_AIRLINES).agg(F.sum("late_events")).first()[0] == 0
+    held = replay.schedule(rows, d).agg(F.avg(F.col("held").cast("int")), F.max("delay_ms")).first()
+    assert abs(held[0] - 0.3) < 0.03 and held[1] <= 3_600_000
+    assert abs(experiments.expected_loss(d, 300) - 0.3 * 3300**2 / (2 * 3600 * 3600)) < 1e-12
+
+
+def test_experiments_compared(spark):
+    rows = source.flights(spark, "/root/testdata/sf0.01")
+    d = replay.Disorder(0.3, 3600, "uniform")
+    kept = lambda s: airline_status.status(replay.lateness(replay.schedule(rows, d), s).filter("NOT late").select(*rows.columns), source.EVENT_AIRLINES)
+    safe = experiments.compared(airline_status.status(rows, source.EVENT_AIRLINES), kept(3600)).first()
+    assert safe.keys == safe.equal_keys and not safe.lost_flights
+    fast = experiments.compared(airline_status.status(rows, source.EVENT_AIRLINES), kept(300)).first()
+    assert fast.equal_keys < fast.keys and fast.lost_flights > 0
+
+
+def test_merge(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "z", 1)], "k int, v string, version int")
+    assert merge.distinct_rows(a, a).count() == 3
+    assert sorted(tuple(r) for r in merge.latest(a, ["k"], "version").collect()) == [(1, "y", 2), (2, "z", 1)]
+    assert merge.experiment_name("out/q1.csv", "05") == "out/q1_05.csv" == merge.experiment_name("out/q1_05.csv", "05")
+    assert merge.experiment_name("q1", " ") == "q1_base.csv"
+
+
+def test_points(spark):
+    row = (T(2025, 1, 1), T(2025, 1, 1, 1), "A B", 2, 1, 1, 0, None, 50.0, 0.0)
+    assert dashboards.lines(spark.createDataFrame([row], Q1)).first().line == r"q1,airline=A\ B num_flights=2i,completed=1i,cancelled=1i,diverted=0i,cancellation_rate=50.0,late_departure_rate=0.0 1735689600000000000"
+    with pytest.raises(ValueError):
+        dashboards.series(spark.createDataFrame([row], Q1), "airline", "2025-01-01", "2025-01-02")
+
+
+def test_intervals():
+    assert [windows.interval(n) for n in (0, 30, 180, 3600, 5400)] == ["0 seconds", "30 seconds", "3 minutes", "1 hours", "90 minutes"]
+    with pytest.raises(ValueError):
+        windows.interval(-1)
+
+
+def test_configuration(tmp_path, monkeypatch):
+    say = lambda name, x: (tmp_path / name).write_text(json.dumps(x))
+    say("base.json", {"a": {"b": 1, "c": 2}, "d": 3})
+    say("mid.json", {"extends": "base.json", "a": {"c": 4}})
+    say("top.json", {"extends": "mid.json", "a": {"e": 5}, "d": {"f": 6}})
+    assert config.load(tmp_path / "top.json") == {"a": {"b": 1, "c": 4, "e": 5}, "d": {"f": 6}}
+    monkeypatch.setenv(config.ENVIRONMENT, str(tmp_path / "mid.json"))
+    assert config.load() == {"a": {"b": 1, "c": 4}, "d": 3}
+    say("x.json", {"extends": "y.json"})
+    say("y.json", {"extends": "x.json"})
+    with pytest.raises(ValueError):
+        config.load(tmp_path / "x.json")
+    with pytest.raises(FileNotFoundError):
+        config.load(tmp_path / "none.json")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(-(2**62), 2**62), st.text(max_size=9), st.none() | st.floats(allow_nan=False), st.integers(0, 2**32 - 1))
+def test_wire_form(ms, airline, delay, number):
+    event = dict.fromkeys(FLIGHT.names, 0) | {"event_time": ms, "airline": airline, "dep_delay": delay, "arr_delay": None} | {n: None for n in ("cancelled", "diverted")}
+    event |= {n: -1.5 for n in ("carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_aircraft_delay")}
+    assert avro.decode(avro.encode(event, number)) == (number, event)
+    with pytest.raises(ValueError):
+        avro.decode(b"\1abcd")
