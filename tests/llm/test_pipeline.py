@@ -18,7 +18,7 @@ def test_against_plain_versions(spark, sf):
     model = quality.model_of(spark, docs, sf)
     model.weights = model.weights.astype(np.float32)
     kept = {k: r.text for k, r in rows.items() if model.tails(np.array([model.score(quality.features(r.text, model.bits))]))[0, -1] >= 0.5}
-    prints = {k: plain(t, 5) for k, t in kept.items()}
+    prints = {k: plain(t, 3) for k, t in kept.items()}
     root = roots(kept, [(a, b) for a in kept for b in kept if b < a and (prints[a] ^ prints[b]).bit_count() <= 3])
     kept = {k: t for k, t in kept.items() if root[k] == k}
     items = [f for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(f := common_form(r.text)) >= 32]
