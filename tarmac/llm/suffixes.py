@@ -151,7 +151,8 @@ class Runs:
             edge = np.append(np.flatnonzero(stop), len(g))
             end = edge[np.searchsorted(edge, start, side="right")]
             of = np.searchsorted(base, start, side="right") - 1
-            parts.append((some_d[of], start - base[of] + some_a[of], end - start, g[start]))
+            # least hashes are small numbers; mixed once more they spread over the buckets
+            parts.append((some_d[of], start - base[of] + some_a[of], end - start, _mixed(g[start])))
 
         for d, t in enumerate(texts):
             for a in range(0, len(t) - length + 1, SLICE):
