@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarmac.llm.licenses import LICENSE_FILE, TEMPLATES
 from tarmac.llm.secrets import RULES
 
 
@@ -67,4 +68,44 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN told USING (doc_id)"""
 
 
-ORACLES = {"op7_windows": WINDOWS, "op8_secrets": secrets(), "op9_suffixes": SUBSTRINGS}
+def licenses(threshold: float = 0.6) -> str:
+    values = ", ".join(f"({i}, {_literal(name)}, {_literal(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    split = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda t: t <> '')"
+    named = f"regexp_matches(%s, {_literal(LICENSE_FILE)})"
+    return f"""
+WITH templates(template, license, body) AS (VALUES {values}), files AS (
+    SELECT doc_id, coalesce(text, '') AS body, concat_ws('/', source, lang, CASE WHEN length(text) <= 400 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path FROM documents
+), template_terms AS (
+    SELECT template, license, term, count(*) AS n FROM (SELECT template, license, unnest({split('body')}) AS term FROM templates) GROUP BY ALL
+), frequency AS (
+    SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({split('body')})) AS term FROM files) GROUP BY term
+), idf AS (
+    SELECT term, ln((1 + (SELECT count(*) FROM files))::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN frequency USING (term)
+), vectors AS (
+    SELECT template, license, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY template)) AS weight FROM template_terms JOIN idf USING (term)
+), parts AS (
+    SELECT DISTINCT path, unnest(list_concat(regexp_split_to_array(regexp_replace(body, '([.!?])[ \t]+([A-Z])', '\\1\n\\2', 'g'), '[\n\r]+'), CASE WHEN {named % "regexp_extract(path, '([^/]*)$', 1)"} THEN [body] ELSE [] END)) AS part FROM files
+), likely AS (
+    SELECT path, part, row_number() OVER () AS id FROM parts WHERE len(list_intersect({split('part')}, (SELECT list(term) FROM idf))) > 0
+), part_terms AS (
+    SELECT path, id, term, count(*) * coalesce(any_value(idf), (SELECT avg(idf) FROM idf)) AS v FROM (SELECT path, id, unnest({split('part')}) AS term FROM likely) LEFT JOIN idf USING (term) GROUP BY path, id, term
+), norms AS (
+    SELECT id, sqrt(sum(v * v)) AS norm FROM part_terms GROUP BY id
+), near AS (
+    SELECT path, license, round(sum(v * weight) / any_value(norm), 6) AS similarity FROM part_terms JOIN vectors USING (term) JOIN norms USING (id) GROUP BY path, id, template, license
+), own AS (
+    SELECT path, license, similarity FROM near WHERE similarity >= {threshold} QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, license) = 1
+), held AS (
+    SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, similarity FROM own WHERE {named % "regexp_extract(path, '([^/]*)$', 1)"}
+    QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY similarity DESC, path) = 1
+), folders AS (
+    SELECT f.folder, h.folder AS held_in, h.license, h.similarity FROM (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM files) f JOIN held h ON f.folder = h.folder OR h.folder = '' OR starts_with(f.folder, h.folder || '/')
+    QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY length(h.folder) DESC) = 1
+)
+SELECT f.doc_id, f.path, coalesce(own.license, near.license) AS license, coalesce(own.similarity, near.similarity) AS similarity,
+       CASE WHEN own.license IS NOT NULL THEN 'stated' WHEN near.license IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own.license IS NULL THEN near.held_in END AS inherited_from
+FROM files f LEFT JOIN own ON f.path = own.path LEFT JOIN folders near ON regexp_replace(f.path, '/?[^/]*$', '') = near.folder
+"""
+
+
+ORACLES = {"op5_licenses": licenses(), "op7_windows": WINDOWS, "op8_secrets": secrets(), "op9_suffixes": SUBSTRINGS}
