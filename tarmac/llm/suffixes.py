@@ -1,6 +1,6 @@
 """Suffix-array dedup: byte strings of ``length`` (50) that also start in a document of smaller id are removed.
 
-Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. In a first round, blocks of documents (ranges of ids) ask which of their keys another block has. In a second round they send the runs of repeated keys, each different run once, to the bucket of the key, so that all occurrences of a window meet in one bucket.
+Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. In a first round, blocks of documents (ranges of ids) ask which of their keys occur elsewhere. In a second round they send the runs of repeated keys, each different run once, to the bucket of the key, so that all occurrences of a window meet in one bucket.
 
 A bucket is taken in shards of bounded size. In each shard a suffix array over its runs is made by Larsson-Sadakane refinement: suffixes are sorted by a few symbols, then only groups not yet told apart are sorted again by the ranks of what follows, twice as deep each time. Kasai's common prefixes of neighbours, computed for the irreducible ones and carried on to the others, cut the array into classes of equal windows. Across shards, classes are merged by binary search of each shard's class strings among the others'. A window is removed if its class has a document of smaller id; one bit for each window goes back to its block.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm.common import documents, in_order, range_block
-from tarmac.llm.windows import _BASES, _BYTE, _Powers, _by_bucket, _mixed, _texts, asked
+from tarmac.llm.windows import _BASES, _BYTE, _by_bucket, _mixed, _Powers, _texts, asked, different, elsewhere, packed, repeated
 
 #: Bytes that are hashed at once; bytes of runs in a shard.
 SLICE, SHARD = 1 << 18, 1_500_000
@@ -110,7 +110,7 @@ class Runs:
 
     def __init__(self, texts: list[bytes], length: int):
         self.texts, self.length, gram = texts, length, min(GRAM, length)
-        powers, held, some = _Powers(_BASES[0]), 0, []
+        powers, held, some = _Powers(_BASES[0, 0]), 0, []
         parts: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> None:
@@ -125,7 +125,7 @@ class Runs:
             if len(x) < length:
                 return
             up, down = powers.to(len(x))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[x] * down[: len(x)])])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[0][x] * down[: len(x)])])
             g = _mixed((total[gram:] - total[:-gram]) * up[: len(x) - gram + 1])
             width, spanned = length - gram + 1, 1
             while spanned < width:
@@ -165,50 +165,17 @@ class Runs:
         empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
         self.doc, self.at, self.windows, self.key = (np.concatenate([p[i] for p in parts] or [empty[i]]) for i in range(4))
 
-    def different_keys(self) -> np.ndarray:
-        return self.key[~pd.Series(self.key).duplicated().to_numpy()]
-
-    def repeated(self, flags: pa.Table, buckets: int) -> np.ndarray:
-        """Indexes of the runs whose key occurs again, in this block or another."""
-        keys = self.different_keys()
-        elsewhere = keys[_bits(keys, flags, buckets)]
-        again = pd.Series(self.key).duplicated(keep=False).to_numpy()
-        if len(elsewhere):
-            again |= pd.Series(self.key).isin(elsewhere).to_numpy()
-        return np.flatnonzero(again)
-
     def strings(self, runs: np.ndarray) -> list[bytes]:
         more = self.length - 1
         texts = self.texts
         return [texts[d][a : a + n + more] for d, a, n in zip(self.doc[runs].tolist(), self.at[runs].tolist(), self.windows[runs].tolist())]
 
 
-def _bits(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
-    order, starts = _by_bucket(hashes, buckets)
-    out = np.zeros(len(hashes), bool)
-    for b, packed in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):
-        own = order[starts[b] : starts[b + 1]]
-        out[own] = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=len(own)).view(bool)
-    return out
-
-
-def _packed(bits: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
-
-
-def shared_keys(table: pa.Table) -> pa.Table:
-    """For one bucket of keys: a bit for each asked: whether another block asks it too."""
-    each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-    again = pd.Series(np.concatenate(each)).duplicated(keep=False).to_numpy()
-    ends = np.cumsum([len(x) for x in each])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([_packed(again[e - len(x) : e]) for x, e in zip(each, ends)], pa.binary())})
-
-
 class Offer:
     """The different strings of a block's repeated runs, by bucket and in order of first occurrence."""
 
     def __init__(self, runs: Runs, flags: pa.Table, buckets: int):
-        self.chosen = runs.repeated(flags, buckets)
+        self.chosen = np.flatnonzero(repeated(runs.key, flags, buckets))
         order, starts = _by_bucket(runs.key[self.chosen], buckets)
         self.order = self.chosen[order]
         strings = runs.strings(self.order)
@@ -291,8 +258,7 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
 
     def ask(table: pa.Table) -> pa.Table:
         own, _, runs = read(table)
-        rows = asked(own, own.column("block")[0].as_py(), runs.different_keys(), buckets)
-        return rows
+        return asked(own.column("block")[0].as_py(), different(runs.key), buckets)
 
     def offer(table: pa.Table, flags: pa.Table) -> pa.Table:
         own, _, runs = read(table)
@@ -313,9 +279,9 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         table = table.take(pa.compute.sort_indices(table.column("block")))
         strings: list[bytes] = []
         order: list[np.ndarray] = []
-        for place, (sizes, rank, packed) in enumerate(zip(*(table.column(c).to_pylist() for c in ("sizes", "ranks", "strings")))):
+        for place, (sizes, rank, squeezed) in enumerate(zip(*(table.column(c).to_pylist() for c in ("sizes", "ranks", "strings")))):
             sizes, rank = np.frombuffer(sizes, np.uint32), np.frombuffer(rank, np.uint32)
-            body, ends = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(sizes).tolist()
+            body, ends = zstandard.ZstdDecompressor().decompress(squeezed), np.cumsum(sizes).tolist()
             strings += [body[a:b] for a, b in zip([0, *ends], ends)]
             order.append(rank.astype(np.int64) + (place << 32))
         rows, orders = np.array([*strings, None], dtype=object)[:-1], np.concatenate(order)
@@ -327,7 +293,7 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         flags, at = [], 0
         for o in order:
             own = [bits[c] if x == least[c] else np.ones(len(bits[c]), bool) for c, x in zip(code[at : at + len(o)], o)]
-            flags.append(_packed(np.concatenate(own)))
+            flags.append(packed(np.concatenate(own)))
             at += len(o)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary()), "kind": pa.array(np.ones(len(flags), np.int32))})
 
@@ -340,9 +306,9 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         starts = np.concatenate([[0], np.cumsum(windows)])
         bits = np.zeros(int(starts[-1]), bool)
         settled_rows = flags.filter(pa.compute.equal(kind, 1))
-        for b, packed in zip(settled_rows.column("bucket").to_pylist(), settled_rows.column("flags").to_pylist()):
+        for b, answer in zip(settled_rows.column("bucket").to_pylist(), settled_rows.column("flags").to_pylist()):
             lo, hi = starts[offered.starts[b]], starts[offered.starts[b + 1]]
-            bits[lo:hi] = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8), count=int(hi - lo)).view(bool)
+            bits[lo:hi] = np.unpackbits(np.frombuffer(zlib.decompress(answer), np.uint8), count=int(hi - lo)).view(bool)
         size = np.array([len(t) for t in texts], np.int64)
         base = np.concatenate([[0], np.cumsum(size)])
         step = np.zeros(int(base[-1]) + 1, np.int32)
@@ -380,7 +346,7 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
 
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", spans_type), T.StructField("kept", T.BinaryType())])
-    keys = placed.groupBy("block").applyInArrow(ask, "block long, bucket long, hashes binary").groupBy("bucket").applyInArrow(shared_keys, "block long, bucket long, flags binary")
+    keys = placed.groupBy("block").applyInArrow(ask, "block long, bucket long, hashes binary").groupBy("bucket").applyInArrow(elsewhere, "block long, bucket long, flags binary")
     offers = placed.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(offer, "block long, bucket long, sizes binary, ranks binary, strings binary")
     settled_bits = offers.groupBy("bucket").applyInArrow(settle, "block long, bucket long, flags binary, kind int")
     flags = keys.withColumn("kind", F.lit(0)).union(settled_bits)

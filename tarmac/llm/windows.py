@@ -1,10 +1,10 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window.
 
-Documents are taken in blocks, ranges of their ids. A block hashes each window of ``length`` words (a rolling polynomial modulo 2^64 over the words' own polynomial hashes, all in numpy) and asks, once for each different hash, whether an earlier block has it. What is asked is dealt by hash into buckets, packed, and counted there over all blocks; what comes back is one bit for each hash asked. A window is a repeat if it occurs earlier in its block or in an earlier block. Overlapping repeats are merged into maximal intervals, which are removed.
+Documents are taken in blocks, ranges of their ids, and each window of ``length`` words is hashed (a rolling polynomial modulo 2^64 over the words' own polynomial hashes, all in numpy). Windows are counted in two rounds. First a block asks for each different hash, dealt by it into buckets and packed as 32 bits, whether it occurs elsewhere; one bit comes back. Then it sends the windows that may repeat with 128 bits, the second 64 from other polynomials over other word hashes, and learns for each whether an earlier block has it. A window is a repeat if it occurs earlier in its block or in an earlier block. Overlapping repeats are merged into maximal intervals, which are removed.
 
-A window that a third of all documents share is asked once for each block, not once for each document, and no bucket holds more than the windows of its share of hashes. The documents are shuffled once; both passes read that one exchange.
+A window that a third of all documents share is asked once for each block, not once for each document, and a bucket holds its share of different hashes only. A bucket's size does not grow with the input, so 32 bits let through one in a thousand by chance, at any scale; what they let through is judged by 128. The documents are shuffled once, and all passes read that one exchange.
 
-Hashes have 64 bits: among n windows, the expected number of windows taken wrongly for repeats is n^2 / 2^65 (0.0005 for the 140 million windows of 0.9 GB of text).
+Among n windows, the expected number taken wrongly for repeats is n^2 / 2^129: below 10^-12 for the 2 x 10^13 windows of 100 TB.
 
 Defined cases: a null, empty or blank text has no words; a text shorter than a window has no windows and is kept; ids order documents, nulls before all others and rows that share an id by their texts; rows that repeat are each returned, and the later one's windows all repeat the first's; an empty table gives an empty result; other columns are ignored.
 """
@@ -24,8 +24,9 @@ from tarmac.llm.common import documents, in_order, range_block
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, 258, np.uint64)
-_BYTE, _BASES = _RANDOM[:256], _RANDOM[256:] | np.uint64(1)
+_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 258), np.uint64)
+#: Of both lanes: a number for each byte, and the bases of words and of windows.
+_BYTE, _BASES = _RANDOM[:, :256], _RANDOM[:, 256:] | np.uint64(1)
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
 
@@ -57,8 +58,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    def __init__(self, length: int):
-        self.length, self.bytes, self.words = length, _Powers(_BASES[0]), _Powers(_BASES[1])
+    def __init__(self, length: int, lane: int = 0):
+        self.length, self.table, self.bytes, self.words = length, _BYTE[lane], _Powers(_BASES[lane, 0]), _Powers(_BASES[lane, 1])
 
     def word_hashes(self, text: bytes) -> np.ndarray:
         parts, at = [], 0
@@ -70,7 +71,7 @@ class Hasher:
             x = np.frombuffer(text, np.uint8, min(end, len(text)) - at, at)
             edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[x], [True]]).view(np.int8)))
             start, stop = edge[::2], edge[1::2]
-            parts.append(_mixed(stretches(_BYTE[x], start, stop, self.bytes) + (stop - start).astype(np.uint64)))
+            parts.append(_mixed(stretches(self.table[x], start, stop, self.bytes) + (stop - start).astype(np.uint64)))
             at = end
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -111,34 +112,79 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
 
-def asked(table: pa.Table, block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    """Rows (block, bucket, hashes) of different ``hashes``."""
+def asked(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
+    """Rows (block, bucket, hashes): 32 bits of each of the different ``hashes``, beside those that chose the bucket."""
     order, starts = _by_bucket(hashes, buckets)
     used = np.flatnonzero(np.diff(starts))
-    h = hashes[order]
-    return pa.table({"block": pa.array(np.full(len(used), block)), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([h[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
+    h = hashes[order].astype(np.uint32)
+    return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([h[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
 
 
-def answered(table: pa.Table) -> pa.Table:
-    """For one bucket: rows (block, bucket, flags), a bit for each hash asked: whether an earlier block asks it too."""
-    table = table.take(pa.compute.sort_indices(table.column("block")))
-    each = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-    again = pd.Series(np.concatenate(each)).duplicated().to_numpy()
+def packed(bits: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(bits).tobytes(), 1)
+
+
+def elsewhere(table: pa.Table) -> pa.Table:
+    """For one bucket: rows (block, bucket, flags), a bit for each hash asked: whether it is asked again."""
+    each = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
+    again = pd.Series(np.concatenate(each)).duplicated(keep=False).to_numpy()
     ends = np.cumsum([len(x) for x in each])
-    flags = [zlib.compress(np.packbits(again[e - len(x) : e]).tobytes(), 1) for x, e in zip(each, ends)]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary())})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([packed(again[e - len(x) : e]) for x, e in zip(each, ends)], pa.binary())})
 
 
-def answers(hashes: np.ndarray, table: pa.Table, buckets: int) -> np.ndarray:
+def answers(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
     """The bits that came back, in the order of ``hashes``."""
     order, starts = _by_bucket(hashes, buckets)
     out = np.zeros(len(hashes), bool)
-    for b, flags in zip(table.column("bucket").to_pylist(), table.column("flags").to_pylist()):
+    for b, bits in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):
         own = order[starts[b] : starts[b + 1]]
-        out[own] = np.unpackbits(np.frombuffer(zlib.decompress(flags), np.uint8), count=len(own)).view(bool)
+        out[own] = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(own)).view(bool)
     return out
 
 
+def different(hashes: np.ndarray) -> np.ndarray:
+    return hashes[~pd.Series(hashes).duplicated().to_numpy()]
+
+
+def repeated(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
+    """Whether each of a block's ``hashes`` occurs again in it or, by the bits that came back, elsewhere."""
+    own = different(hashes)
+    again = pd.Series(hashes).duplicated(keep=False).to_numpy()
+    found = own[answers(own, flags, buckets)]
+    return again | pd.Series(hashes).isin(found).to_numpy() if len(found) else again
+
+
+class _Suspects:
+    """The windows of a block that may repeat: where they are in the block, and their 128 bits."""
+
+    def __init__(self, texts: list[bytes], length: int, flags: pa.Table, buckets: int):
+        self.counts, first, low = Hasher(length).windows(texts)
+        may = np.flatnonzero(repeated(low, flags, buckets))
+        self.first, self.low = first[may], low[may]
+        self.high = Hasher(length, 1).windows(texts)[2][may] if len(may) else low[:0]
+        self.again = pd.DataFrame({"a": self.low, "b": self.high}).duplicated().to_numpy()
+
+
+def _offered(table: pa.Table, own: _Suspects, buckets: int) -> pa.Table:
+    low, high = own.low[~own.again], own.high[~own.again]
+    order, starts = _by_bucket(low, buckets)
+    both = np.stack([low[order], high[order]], 1)
+    used = np.flatnonzero(np.diff(starts))
+    block = table.column("block")[0].as_py() if table.num_rows else 0
+    return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([both[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
+
+
+def _earlier(table: pa.Table) -> pa.Table:
+    """For one bucket: a bit for each window offered: whether an earlier block offers it too."""
+    table = table.take(pa.compute.sort_indices(table.column("block")))
+    each = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table.column("hashes")]
+    both = np.concatenate(each)
+    again = pd.DataFrame({"a": both[:, 0], "b": both[:, 1]}).duplicated().to_numpy()
+    ends = np.cumsum([len(x) for x in each])
+    flags = [packed(again[e - len(x) : e]) for x, e in zip(each, ends)]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary()), "kind": pa.array(np.ones(len(flags), np.int32))})
+
+
 def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
     """key, n_words, n_removed, intervals (array of start, end in words), kept_text (the kept words joined by one blank)."""
     block, total = range_block(docs, key, text, block_bytes)
@@ -148,15 +194,19 @@ def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id",
     def ask(table: pa.Table) -> pa.Table:
         own = in_order(table, "key", "body")
         _, _, h = Hasher(length).windows(_texts(own, "body"))
-        h = h[~pd.Series(h).duplicated().to_numpy()]
-        return asked(own, own.column("block")[0].as_py(), h, buckets)
+        return asked(own.column("block")[0].as_py(), different(h), buckets)
+
+    def offer(table: pa.Table, flags: pa.Table) -> pa.Table:
+        own = in_order(table, "key", "body")
+        return _offered(own, _Suspects(_texts(own, "body"), length, flags, buckets), buckets)
 
     def remove(table: pa.Table, flags: pa.Table) -> pa.Table:
         own = in_order(table, "key", "body")
         texts = _texts(own, "body")
-        counts, first, h = Hasher(length).windows(texts)
-        again = pd.Series(h).duplicated().to_numpy()
-        again[~again] = answers(h[~again], flags, buckets)
+        kind = flags.column("kind")
+        suspects = _Suspects(texts, length, flags.filter(pa.compute.equal(kind, 0)), buckets)
+        counts, first, again = suspects.counts, suspects.first, suspects.again.copy()
+        again[~again] = answers(suspects.low[~again], flags.filter(pa.compute.equal(kind, 1)), buckets)
         step = np.zeros(int(counts.sum()) + 1, np.int64)
         np.add.at(step, first[again], 1)
         np.add.at(step, first[again] + length, -1)
@@ -187,7 +237,10 @@ def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id",
 
     key_type = docs.schema[key].dataType
     out = T.StructType([T.StructField("key", key_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept_text", T.StringType())])
-    flags = placed.groupBy("block").applyInArrow(ask, "block long, bucket long, hashes binary").groupBy("bucket").applyInArrow(answered, "block long, bucket long, flags binary")
+    asks, bits = "block long, bucket long, hashes binary", "block long, bucket long, flags binary"
+    found = placed.groupBy("block").applyInArrow(ask, asks).groupBy("bucket").applyInArrow(elsewhere, bits)
+    settled = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(offer, asks).groupBy("bucket").applyInArrow(_earlier, bits + ", kind int")
+    flags = found.withColumn("kind", F.lit(0)).union(settled)
     return placed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
 
 
