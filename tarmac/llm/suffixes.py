@@ -26,44 +26,55 @@ from pyspark.sql import types as T
 from tarmac.llm.common import documents, in_order, range_block
 from tarmac.llm.windows import _BASES, _BYTE, _by_bucket, _mixed, _Powers, _texts, asked, different, elsewhere, packed, repeated
 
-#: Bytes that are hashed at once; bytes of runs in a shard.
-SLICE, SHARD = 1 << 18, 1_500_000
+#: Bytes that are hashed at once; bytes of runs in a shard at most; bytes of input for each bucket of runs, few enough for a suffix array to stay in the caches.
+SLICE, SHARD, SHELF = 1 << 18, 1_500_000, 500_000
 GRAM = 20
 
 
 # ---------------------------------------------------------------- suffix arrays
 
 
+def _in_order(high: np.ndarray, low: np.ndarray, low_bits: int, at: np.ndarray, at_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` by (high, low, at), and where (high, low) is new. Sorted as one number where the bits suffice, which numpy does several times faster."""
+    if int(high.max(initial=0)).bit_length() + low_bits + at_bits < 64:
+        packed = (high << (low_bits + at_bits)) | (low << at_bits) | at
+        packed.sort()
+        at, both = packed & ((1 << at_bits) - 1), packed >> at_bits
+        return at, np.concatenate([[True], both[1:] != both[:-1]])
+    order = np.lexsort((at, low, high))
+    high, low = high[order], low[order]
+    return at[order], np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+
+
 def suffix_array(text: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes. ``rest``: how many symbols each suffix has until its string's end; a string that ends comes first, equal suffixes are in order of position."""
     n = len(text)
-    depth = 7
-    key = np.zeros(n, np.uint64)
-    symbol = np.zeros(n + depth, np.uint64)
-    symbol[:n] = text
-    symbol[:n] += np.uint64(1)
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = n.bit_length()
+    # symbols as small numbers, 0 for a string's end; as many of them at first as fit beside a position
+    used = np.bincount(text, minlength=256) > 0
+    width = int(used.sum()).bit_length()
+    depth = max(1, (63 - bits) // width)
+    symbol = np.zeros(n + depth, np.int64)
+    symbol[:n] = np.cumsum(used)[text]
+    key = np.zeros(n, np.int64)
     for i in range(depth):
-        key = (key << np.uint64(9)) | np.where(rest > i, symbol[i : i + n], np.uint64(0))
-    sa = np.argsort(key, kind="stable")
-    k = key[sa]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if n else np.zeros(0, bool)
+        key = (key << width) | np.where(rest > i, symbol[i : i + n], 0)
+    sa, new = _in_order(key, np.zeros(n, np.int64), 0, np.arange(n), bits)
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # where each group starts
     rank = np.empty(n, np.int64)
     rank[sa] = head
-    del key, symbol, k
     while True:
         # slots of groups that have more than one suffix; one shorter than the depth equals its whole group
         alone = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~alone & (rest[sa] >= depth)) if n else np.zeros(0, int)
+        open_ = np.flatnonzero(~alone & (rest[sa] >= depth))
         if not len(open_):
             return sa
         at = sa[open_]
-        group = head[open_]
         later = np.where(rest[at] > depth, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-        order = np.argsort((group.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64), kind="stable")
-        at, later = at[order], later[order]
+        at, differ = _in_order(head[open_], later, bits, at, bits)
         sa[open_] = at
-        differ = np.concatenate([[True], (group[1:] != group[:-1]) | (later[1:] != later[:-1])])
         new[open_] |= differ
         head[open_] = np.maximum.accumulate(np.where(differ, open_, 0))
         rank[at] = head[open_]
@@ -174,9 +185,10 @@ class Runs:
 class Offer:
     """The different strings of a block's repeated runs, by bucket and in order of first occurrence."""
 
-    def __init__(self, runs: Runs, flags: pa.Table, buckets: int):
+    def __init__(self, runs: Runs, flags: pa.Table, buckets: int, shelves: int):
+        """Keys were asked by ``buckets``; strings are sent by ``shelves``, which are more, so that one seldom needs a second shard."""
         self.chosen = np.flatnonzero(repeated(runs.key, flags, buckets))
-        order, starts = _by_bucket(runs.key[self.chosen], buckets)
+        order, starts = _by_bucket(runs.key[self.chosen], shelves)
         self.order = self.chosen[order]
         strings = runs.strings(self.order)
         self.code, self.different = pd.factorize(np.array([*strings, None], dtype=object)[:-1]) if strings else (np.zeros(0, np.int64), np.zeros(0, object))
@@ -208,8 +220,13 @@ def _classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return out[rest >= length], np.ascontiguousarray(names).view(f"S{length}").ravel(), sizes - length + 1
 
 
-def settled(strings: list[bytes], order: np.ndarray, length: int, shard: int = SHARD) -> list[np.ndarray]:
-    """For each string, a bit for each of its windows: whether a string of smaller ``order`` has it. Equal strings are given once, with their least order, in ascending order."""
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of starts[0] .. starts[0] + sizes[0] - 1, then of the next, and so on."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def settled(strings: list[bytes], order: np.ndarray, length: int, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """A bit for each window of each string, string by string: whether a string of smaller ``order`` has it; and how many windows each string has. Equal strings are given once, with their least order."""
     shards, some, held = [], [], 0
     for i, s in enumerate(strings):
         some.append(i)
@@ -219,27 +236,24 @@ def settled(strings: list[bytes], order: np.ndarray, length: int, shard: int = S
             own = np.repeat(order[some], windows)
             least = np.full(len(names), np.iinfo(np.int64).max)
             np.minimum.at(least, code, own)
-            shards.append([some, code, names, windows, own, least])
+            shards.append((code, names, windows, own, least))
             some, held = [], 0
-    merged = []
-    for a, (_, _, names, _, _, least) in enumerate(shards):
+    bits = []
+    for a, (code, names, _, own, least) in enumerate(shards):
         best = least.copy()
-        for b, (_, _, other, _, _, theirs) in enumerate(shards):
+        for b, (_, other, _, _, theirs) in enumerate(shards):
             if a != b and len(other) and len(names):
                 at = np.minimum(np.searchsorted(other, names), len(other) - 1)
                 same = other[at] == names
                 best[same] = np.minimum(best[same], theirs[at[same]])
-        merged.append(best)
-    out: list[np.ndarray] = []
-    for (some, code, _, windows, own, _), best in zip(shards, merged):
-        out += np.split(best[code] < own, np.cumsum(windows)[:-1])
-    return out
+        bits.append(best[code] < own)
+    return np.concatenate(bits or [np.zeros(0, bool)]), np.concatenate([x[2] for x in shards] or [np.zeros(0, np.int64)])
 
 
-def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 12_000_000, shard: int = SHARD) -> DataFrame:
+def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD) -> DataFrame:
     """key, n_bytes, n_removed, intervals (array of start, end in bytes), kept (binary)."""
     block, total = range_block(docs, key, text, block_bytes)
-    buckets = max(1, -(-total // block_bytes))
+    buckets, shelves = max(1, -(-total // block_bytes)), max(1, -(-total // SHELF))
     placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), block.alias("block"))
 
     def read(table: pa.Table) -> tuple[pa.Table, list[bytes], Runs]:
@@ -262,7 +276,7 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
 
     def offer(table: pa.Table, flags: pa.Table) -> pa.Table:
         own, _, runs = read(table)
-        offered = Offer(runs, flags, buckets)
+        offered = Offer(runs, flags, buckets, shelves)
         rank = ranks(own)[runs.doc[offered.order[offered.first]]]
         squeeze = zstandard.ZstdCompressor(level=1)
         used = np.flatnonzero(np.diff(offered.starts))
@@ -289,18 +303,18 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, orders)
         pick = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())
-        bits = settled([strings[i] for i in pick], least, length, shard)
-        flags, at = [], 0
-        for o in order:
-            own = [bits[c] if x == least[c] else np.ones(len(bits[c]), bool) for c, x in zip(code[at : at + len(o)], o)]
-            flags.append(packed(np.concatenate(own)))
-            at += len(o)
+        bits, windows = settled([strings[i] for i in pick], least, length, shard)
+        starts = np.cumsum(windows) - windows
+        # where a string is not the first of its kind, all its windows are repeats
+        answer = bits[_ragged(starts[code], windows[code])] | np.repeat(orders != least[code], windows[code])
+        ends = np.concatenate([[0], np.cumsum(windows[code])])[np.cumsum([0, *map(len, order)])]
+        flags = [packed(answer[x:y]) for x, y in zip(ends[:-1], ends[1:])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary()), "kind": pa.array(np.ones(len(flags), np.int32))})
 
     def remove(table: pa.Table, flags: pa.Table) -> pa.Table:
         own, texts, runs = read(table)
         kind = flags.column("kind")
-        offered = Offer(runs, flags.filter(pa.compute.equal(kind, 0)), buckets)
+        offered = Offer(runs, flags.filter(pa.compute.equal(kind, 0)), buckets, shelves)
         rank = ranks(own)
         windows = runs.windows[offered.order[offered.first]]  # of each different string
         starts = np.concatenate([[0], np.cumsum(windows)])
@@ -321,12 +335,10 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
             np.add.at(step, at[later] + n[later] + length - 1, -1)
             some = np.flatnonzero(~later)
             from_, count = starts[offered.code[some]], n[some]
-            each = np.repeat(from_ - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            where = np.repeat(at[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            hit = where[bits[each]]
+            hit = _ragged(at[some], count)[bits[_ragged(from_, count)]]
             np.add.at(step, hit, 1)
             np.add.at(step, hit + length, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         edge = np.concatenate([[False], gone, [False]])
         change = np.flatnonzero(edge[1:] != edge[:-1])
         inner = base[1:-1]

@@ -35,8 +35,9 @@ def test_settled(shard):
         strings = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(6, 20))) for _ in range(12)})
         rng.shuffle(strings)
         order = np.array([rng.randrange(5) for _ in strings])
-        got = settled(strings, order, 6, shard)
-        for s, o, bits in zip(strings, order, got):
+        flat, windows = settled(strings, order, 6, shard)
+        assert windows.tolist() == [len(s) - 5 for s in strings]
+        for s, o, bits in zip(strings, order, np.split(flat, np.cumsum(windows)[:-1])):
             assert bits.tolist() == [any(s[i : i + 6] in t and p < o for t, p in zip(strings, order)) for i in range(len(s) - 5)]
 
 
