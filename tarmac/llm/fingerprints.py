@@ -30,15 +30,29 @@ def draw(word: Column, log_weight: Column, k: int) -> Column:
     b = part(second, 1)
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b) - r
-    place = ((log_a + 128.0) * float(1 << 23)).cast("long")
+    place = (F.greatest(log_a + 128.0, F.lit(0.0)) * float(1 << 23)).cast("long")
     return F.shiftleft(place, 32).bitwiseOR(F.xxhash64(word, t, F.lit(k)).bitwiseAND((1 << 32) - 1))
 
 
 def signatures(words: DataFrame, by: list[str], samples: int) -> DataFrame:
-    """by, sketch (array of long): of rows (by, word: long, null if none). ``by`` must say which rows are one text."""
-    counted = words.groupBy(*by, "word").agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_weight"))
-    drawn = counted.groupBy(*by).agg(*[F.min(F.when(F.col("word").isNotNull(), draw(F.col("word"), F.col("log_weight"), k))).alias(f"k{k}") for k in range(samples)])
-    return drawn.select(*by, F.array(*[F.coalesce(f"k{k}", F.lit(_NONE)).bitwiseAND((1 << 32) - 1) for k in range(samples)]).alias("sketch"))
+    """by, own, other (arrays of long): the sketches of two texts. ``words`` has rows (by, word, own, other): a word and how often it occurs in each; null for a text without words.
+
+    Most words occur as often in both texts and are drawn once for both; the others are drawn for each.
+    """
+    counted = words.groupBy(*by, "word").agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
+    case = lambda n, mask: F.struct(F.col(n).alias("n"), F.lit(mask).alias("mask"))
+    cases = F.when(F.col("own") == F.col("other"), F.array(case("own", 3))).when(F.col("other") == 0, F.array(case("own", 1))).when(F.col("own") == 0, F.array(case("other", 2)))
+    rows = counted.select(*by, "word", F.explode(cases.otherwise(F.array(case("own", 1), case("other", 2)))).alias("c"))
+    none, mask = (1 << 63) - 1, F.when(F.col("word").isNull(), F.lit(0)).otherwise(F.col("c.mask"))
+    rows = rows.select(
+        *by, F.coalesce("word", F.lit(0)).alias("word"), F.log(F.greatest(F.col("c.n"), F.lit(1)).cast("double")).alias("log_weight"),
+        *[F.when(mask.bitwiseAND(bit) > 0, F.lit(0)).otherwise(F.lit(none)).cast("long").alias(f"not_{name}") for bit, name in ((1, "own"), (2, "other"))],
+    )
+    # no condition around a draw: so both of its minima share one evaluation
+    least = lambda k, name: F.min(F.greatest(draw(F.col("word"), F.col("log_weight"), k), F.col(f"not_{name}"))).alias(f"{name}{k}")
+    drawn = rows.groupBy(*by).agg(*[least(k, name) for k in range(samples) for name in ("own", "other")])
+    code = lambda c: F.when(F.col(c) == none, F.lit(_NONE)).otherwise(F.col(c)).bitwiseAND((1 << 32) - 1)
+    return drawn.select(*by, *[F.array(*[code(f"{name}{k}") for k in range(samples)]).alias(name) for name in ("own", "other")])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -84,10 +98,10 @@ def fingerprinted(docs: DataFrame, samples: int = 32, key: str = "doc_id", text:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     near = neighbours(docs, key, text, block_bytes).withColumn("edited", edited(F.col("body"), F.coalesce("after", F.lit(""))))
     about = near.filter("NOT copy").select("block", "place", "key", F.length("body").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    variant = F.struct(F.lit(0).alias("variant"), word_hashes(F.col("body")).alias("words")), F.struct(F.lit(1).alias("variant"), word_hashes(F.col("edited")).alias("words"))
-    words = near.select("block", "place", F.explode(F.array(*variant)).alias("v")).select("block", "place", "v.variant", F.explode("v.words").alias("word"))
-    drawn = signatures(words, ["block", "place", "variant"], samples)
-    drawn = drawn.groupBy("block", "place").agg(F.min_by("sketch", "variant").alias("own"), F.max_by("sketch", "variant").alias("other"))
+    text_words = lambda c, own: F.struct(word_hashes(F.col(c)).alias("words"), F.lit(own).alias("own"), F.lit(1 - own).alias("other"))
+    words = near.select("block", "place", F.explode(F.array(text_words("body", 1), text_words("edited", 0))).alias("v"))
+    words = words.select("block", "place", "v.own", "v.other", F.explode("v.words").alias("word"))
+    drawn = signatures(words, ["block", "place"], samples)
     drawn = drawn.withColumn("next", F.lead("own").over(Window.partitionBy("block").orderBy("place")))
     drawn = drawn.select(
         F.col("block").alias("b"), F.col("place").alias("p"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("other")).alias("edited_fingerprint"),
