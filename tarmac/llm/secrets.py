@@ -123,10 +123,10 @@ def trigram_query(regex: str) -> list[frozenset[str]] | None:
 
 
 def _index(docs: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, key): which texts contain which of ``trigrams``."""
-    folded = F.lower(F.col(text))
-    present = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return docs.select(F.col(key).alias("posted"), F.explode(present).alias("trigram"))
+    """Postings (trigram, key): which texts contain which of ``trigrams``. The text is folded once; a literal condition for each trigram would make a method too large to be compiled."""
+    names = F.array(*[F.lit(t) for t in trigrams])
+    present = F.transform(F.array(F.lower(F.col(text))), lambda folded: F.filter(names, lambda t: F.contains(folded, t)))
+    return docs.select(F.col(key).alias("posted"), F.explode(F.element_at(present, 1)).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,10 +136,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     trigrams = sorted({t for q in asked.values() for c in q for t in c})
     if not trigrams:
         return docs.select(F.col(key).alias("posted"), F.array().cast("array<int>").alias("rules")).limit(0)
-    place = {t: i for i, t in enumerate(trigrams)}
     # One row for each rule, conjunction and trigram: as many as the rules have, whatever the data
-    terms = [(i, j, place[t], 1 << k, (1 << len(c)) - 1) for i, q in asked.items() for j, c in enumerate(q) for k, t in enumerate(sorted(c))]
-    terms = spark.createDataFrame(terms, "rule int, conjunction int, term int, bit long, all long")
+    terms = [(i, j, t, 1 << k, (1 << len(c)) - 1) for i, q in asked.items() for j, c in enumerate(q) for k, t in enumerate(sorted(c))]
+    terms = spark.createDataFrame(terms, "rule int, conjunction int, term string, bit long, all long")
     return (
         _index(docs, key, text, trigrams)
         .join(F.broadcast(terms), F.col("trigram") == F.col("term"))
@@ -151,6 +150,13 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", te
     )
 
 
+def necessary(rule: Rule) -> str | None:
+    """What a text must contain for a rule that is one class of characters, repeated: a run of the least length."""
+    parsed = list(sre_parse.parse(rule.regex))
+    single = len(parsed) == 1 and parsed[0][0] is sre.MAX_REPEAT and parsed[0][1][:2] == (1, sre.MAXREPEAT) and [op for op, _ in parsed[0][1][2]] == [sre.IN]
+    return f"{rule.regex[:-1]}{{{rule.least}}}" if single and rule.counted == 0 and rule.regex.endswith("]+") else None
+
+
 def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -196,6 +202,8 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
     each = []
     for i, rule in enumerate(rules):
         spans = _spans(body, rule, i)
+        if (run := necessary(rule)) is not None:
+            spans = F.when(F.rlike(body, F.lit(run)), spans).otherwise(none)
         if trigram_query(rule.regex) is not None:
             spans = F.when(F.array_contains(F.coalesce(asked, F.array().cast("array<int>")), i), spans).otherwise(none)
         each.append(spans)
