@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents
+from tarmac.llm.common import documents, written
 
 # Usual licence statements, by SPDX identifier.
 TEMPLATES = (
@@ -122,7 +122,8 @@ def stated(files: DataFrame, weights: Weights, templates: tuple[tuple[str, str],
         part.withColumn("id", F.sha2("part", 256)).select("of_path", "id", F.explode(_words(F.col("part"))).alias("term")).filter("term <> ''")
         .groupBy("of_path", "id", "term").agg(F.count(F.lit(1)).alias("n"))
     )
-    rated = counted.join(idf, F.col("term") == F.col("known_term"), "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(weights.other)))
+    # both the lengths and the products are taken from it, and few texts have any; so texts are cut up once
+    rated = written(counted, "licenses-terms").join(idf, F.col("term") == F.col("known_term"), "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(weights.other)))
     norm = rated.groupBy("of_path", "id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).toDF("norm_path", "norm_id", "norm")
     dot = rated.join(vectors, F.col("term") == F.col("vector_term")).groupBy("of_path", "id", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     names = F.array(*[F.lit(k) for k, _ in templates])
@@ -135,7 +136,7 @@ def stated(files: DataFrame, weights: Weights, templates: tuple[tuple[str, str],
 def scanned(files: DataFrame, threshold: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
     """key, path, license, similarity, origin ("stated", "inherited" or null) and inherited_from (the directory) for every row."""
     weights = weights_of(files, templates, text)
-    own = stated(files, weights, templates, threshold, path, text)
+    own = written(stated(files, weights, templates, threshold, path, text), "licenses-stated")
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     held = (
         own.filter(F.regexp_extract("of_path", "([^/]*)$", 1).rlike(LICENSE_FILE))
