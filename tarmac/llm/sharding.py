@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import documents, written
 
 
-def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", stratum: str = "source", range_rows: int = 100_000) -> DataFrame:
+def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", stratum: str = "source", range_rows: int = 5_000) -> DataFrame:
     """key, stratum_key, size, text_crc32, shard, slot for every row of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(
