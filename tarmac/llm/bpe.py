@@ -10,7 +10,7 @@ Defined cases: a null or empty text has no ids and decodes to no bytes; null ids
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tarmac.llm.common import documents
+from tarmac.llm.common import documents, small_batches
 
 #: Code points of text, and pre-tokens of one very long text, that are encoded at once.
 SLICE_CHARS, SLICE_PIECES = 2_000_000, 400_000
@@ -108,7 +108,7 @@ class Tables:
 
 class Encoder:
     #: Results of the second tier that a worker keeps; beyond that it starts anew.
-    MOST_KEPT = 200_000
+    MOST_KEPT = 100_000
 
     def __init__(self, tables: Tables):
         self.t, self.pattern = tables, regex.compile(tables.pattern)
@@ -160,7 +160,7 @@ class Encoder:
         at = np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return flat[at], n
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of ``texts``: how many texts, their ids, and how many ids each text has."""
         batch: list[str] = []
         chars = 0
@@ -194,6 +194,7 @@ class Encoder:
 
 def encoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "ids") -> DataFrame:
     """The columns in ``keep`` and ``out``: array of int, the ids of ``text``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
@@ -201,7 +202,7 @@ def encoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",)
         encoder = Encoder(shared.value)
         for batch in batches:
             at = 0
-            for rows, ids, n in encoder.encode(batch.column(len(keep)).to_pylist()):
+            for rows, ids, n in encoder.encode(t.as_py() for t in batch.column(len(keep))):
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 own = batch.slice(at, rows)
@@ -213,6 +214,7 @@ def encoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",)
 
 def decoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The columns in ``keep`` and ``out``: binary, the bytes of ``ids``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(out, T.BinaryType())])
 

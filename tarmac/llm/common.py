@@ -37,6 +37,13 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of at most ``rows`` texts go to Python from now on in this session: what a worker and the buffers beside it hold follows the batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first of it with underscores behind that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

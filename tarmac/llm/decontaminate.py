@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tarmac.llm.common import documents
+from tarmac.llm.common import documents, small_batches
 
 _FORM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -128,6 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType),
         T.StructField("distance", T.IntegerType()), T.StructField("allowed", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     ])
+    small_batches(docs.sparkSession)
     found = []
     for items, keys in _blocks(benchmark, item_key, item_text, tolerance, least_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast((items, pa.array(keys, to_arrow_type(schema[1].dataType))))
@@ -150,6 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", tolerance: int = 16, least_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no item; judged row by row, so neither ids nor a shuffle are needed."""
+    small_batches(docs.sparkSession)
     where = docs.columns.index(text)
     for items, _ in _blocks(benchmark, item_key, item_text, tolerance, least_chars, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)

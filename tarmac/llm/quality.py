@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import documents
+from tarmac.llm.common import documents, small_batches
 
 _MARKS = re.compile(r"[^\w\s]+")
 _STRIP = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -105,6 +105,7 @@ class OrdinalModel:
 
 def fitted(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", grades: int = 3, bits: int = 20, bound: int = 12_000, seed: int = 7, **how) -> OrdinalModel:
     """A model of ``ratings`` (key, grade 0 .. grades - 1) of texts in ``docs``, from at most ``bound`` rated rows."""
+    small_batches(docs.sparkSession)
     chosen = ratings.select(F.col(key).alias("rated"), F.col(grade).cast("int").alias("rated_grade")).filter(F.col("rated").isNotNull() & F.col("rated_grade").between(0, grades - 1))
     chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "rated"), "rated", "rated_grade").limit(bound)
     schema = "id long, grade int, found array<int>"
@@ -125,6 +126,7 @@ def fitted(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
 
 def scored(docs: DataFrame, model: OrdinalModel, keep_at: float = 0.5, text: str = "text") -> DataFrame:
     """``docs`` with quality_score, expected_grade, tail_probability (of the top grade) and keep (tail_probability >= keep_at)."""
+    small_batches(docs.sparkSession)
     added = [("quality_score", T.DoubleType()), ("expected_grade", T.DoubleType()), ("tail_probability", T.DoubleType()), ("keep", T.BooleanType())]
     names = [c for c in docs.columns if c not in dict(added)]
     schema = T.StructType([*[docs.schema[c] for c in names], *[T.StructField(n, t) for n, t in added]])

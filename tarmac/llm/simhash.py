@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tarmac.llm.common import documents, fresh, written
+from tarmac.llm.common import documents, fresh, small_batches, written
 from tarmac.llm.graph import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,6 +72,7 @@ def fingerprinted(docs: DataFrame, width: int, key: str = "doc_id", text: str =
             found = fingerprints(batch.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [key, "fingerprint"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("fingerprint", T.LongType())]))
 
 
