@@ -2,7 +2,7 @@
 
 A test item of n characters may differ in e = n // ``tolerance`` edits. It is cut into e + 1 pieces, of which any occurrence within e edits holds one unchanged; an Aho-Corasick automaton finds all exact piece hits in one pass over a text. Each hit fixes where the item would lie; that stretch, e characters wider on both sides, is verified with Myers' bit-parallel distance.
 
-Items and texts are compared in a common form, made on their bytes: A-Z in lower case, and every run of other ASCII characters than letters and digits as one blank.
+Items and texts are compared in a common form, made on their bytes: letters of all scripts case-folded (after NFC, so that an accented letter is the same however it is composed), and every run of other ASCII characters than letters and digits as one blank.
 
 Items are taken in blocks of at most ``block_chars`` characters. A block's size is known before it is broadcast, whatever the size of the benchmark, and texts are scanned once for each block; they are never shuffled.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from unicodedata import normalize
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +29,11 @@ _FORM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() els
 
 def common_form(text: str | None) -> str:
     """One character for each byte, so that offsets count bytes."""
-    return b" ".join((text or "").encode("utf-8", "replace").translate(_FORM).split()).decode("latin-1")
+    text = text or ""
+    if not text.isascii():
+        # folding may leave letters and marks apart that compose
+        text = normalize("NFC", normalize("NFC", text).casefold())
+    return b" ".join(text.encode("utf-8", "replace").translate(_FORM).split()).decode("latin-1")
 
 
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:

@@ -1,4 +1,5 @@
 import random
+from unicodedata import normalize
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,17 @@ def test_query_finds_all_exact_passages(spark, sf):
     forms = {d.doc_id: common_form(d.text) for d in docs}
     items = {i.item_id: common_form(i.text) for i in items}
     assert all(least_distance(items[i], forms[d]) == n <= len(items[i]) // 16 for (d, i), n in got.items())
+
+
+FRENCH = "L'été dernier, à la forêt près du château, Élodie a trouvé où le cœur des frères rêvait déjà ; là-bas, même l'âne était très gêné."
+GERMAN = "Über die große Straße führt früher oder später für müde Füße ein schöner Weg zurück, den ältere Bäume prächtig säumen und schützen."
+SPANISH = "El año pasado, según contó él, ningún niño pidió más atención que la pequeña cigüeña; después cayó la lluvia y también se marchó el ratón."
+
+
+def test_upper_case_with_accents(spark):
+    texts = [FRENCH, GERMAN, SPANISH]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    forms = [lambda t: f"so {t.upper()} on", lambda t: normalize("NFD", t), lambda t: normalize("NFD", t.upper())]
+    docs = spark.createDataFrame([(10 * i + k, form(t)) for k, t in enumerate(texts) for i, form in enumerate(forms)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in contaminated(docs, items).collect()) == [(10 * i + k, k, 0) for i in range(3) for k in range(3)]
+    assert uncontaminated(docs, items).count() == 0
