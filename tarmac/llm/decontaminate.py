@@ -6,7 +6,7 @@ Items and texts are compared in a common form, made on their bytes: letters of a
 
 Items are taken in blocks of at most ``block_chars`` characters. A block's size is known before it is broadcast, whatever the size of the benchmark, and texts are scanned once for each block; they are never shuffled.
 
-Defined cases: a null or empty text holds nothing; items that are null, or of fewer than ``least_chars`` characters in the common form, identify nothing and are not searched; an item that occurs several times in a text has its best occurrence reported; items that repeat are reported each under their own id, null ids too; rows that repeat are each reported; empty tables give an empty result; other columns are ignored.
+Defined cases: a null or empty text holds nothing; items that are null or empty in the common form identify nothing; items of fewer than ``least_chars`` characters in the common form are found without edits only, as whole words; an item that occurs several times in a text has its best occurrence reported; items that repeat are reported each under their own id, null ids too; rows that repeat are each reported; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,8 +75,10 @@ class Pattern:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str, int]]):
-        """items: number, common form, errors allowed."""
+    def __init__(self, items: list[tuple[int, str, int]], least_chars: int = 0):
+        """items: number, common form, errors allowed; those of fewer than ``least_chars`` characters are found as whole words only, with no errors."""
+        items = [(k, form, 0 if len(form) < least_chars else e) for k, form, e in items]
+        self.least_chars = least_chars
         self.items = {k: (form, e) for k, form, e in items}
         self.patterns: dict[int, Pattern] = {}
         owners: dict[str, list[tuple[int, int]]] = {}
@@ -103,6 +105,8 @@ class Matcher:
                     continue
                 seen.add((k, start))
                 item, e = self.items[k]
+                if len(item) < self.least_chars and (form[max(0, start - 1) : start].strip() or form[at + 1 : at + 2].strip()):
+                    continue
                 if form.startswith(item, max(0, start)) and start >= 0:
                     best[k] = (0, start, start + len(item))
                     continue
@@ -123,8 +127,8 @@ def _blocks(benchmark: DataFrame, item_key: str, item_text: str, tolerance: int,
     block = F.pmod(F.xxhash64("t", "k"), F.lit(blocks))
     for i in range(blocks):
         rows = [(r.k, common_form(r.t)) for r in items.filter(block == i).orderBy("k", "t").toLocalIterator()]
-        rows = [(k, form) for k, form in rows if len(form) >= least_chars]
-        yield [(n, form, len(form) // tolerance) for n, (_, form) in enumerate(rows)], [k for k, _ in rows]
+        rows = [(k, form) for k, form in rows if form]
+        yield [(n, form, len(form) // tolerance if len(form) >= least_chars else 0) for n, (_, form) in enumerate(rows)], [k for k, _ in rows]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", tolerance: int = 16, least_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
@@ -140,7 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, keys = shared.value
-            matcher = Matcher(items)
+            matcher = Matcher(items, least_chars)
             for batch in batches:
                 hits = [(row, k, *hit) for row, t in enumerate(batch.column(1)) for k, hit in matcher.found(t.as_py()).items()]
                 if hits:
@@ -162,7 +166,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = Matcher(shared.value, least_chars)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.found(t.as_py()) for t in batch.column(where)], pa.bool_()))
 

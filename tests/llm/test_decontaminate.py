@@ -86,3 +86,10 @@ def test_upper_case_with_accents(spark):
     docs = spark.createDataFrame([(10 * i + k, form(t)) for k, t in enumerate(texts) for i, form in enumerate(forms)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id, r.distance) for r in contaminated(docs, items).collect()) == [(10 * i + k, k, 0) for i in range(3) for k in range(3)]
     assert uncontaminated(docs, items).count() == 0
+
+
+def test_short_items_are_whole_words_without_edits(spark):
+    docs = spark.createDataFrame([(1, "So: who wrote 'Émile'?"), (2, "who wrote emile"), (3, "who wrote Émilette"), (4, "awho wrote Émile"), (5, "WHO  WROTE ÉMILE"), (6, "who wrote Émiles; who wrote Émile")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Who wrote Émile?"), (2, " ?! "), (3, "xyz")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance, r.allowed) for r in contaminated(docs, items).collect()) == [(1, 1, 0, 0), (5, 1, 0, 0), (6, 1, 0, 0)]
+    assert sorted(r.doc_id for r in uncontaminated(docs, items).collect()) == [2, 3, 4]
