@@ -4,7 +4,9 @@ A file's text is cut into statements (lines, and sentences in them). Each statem
 
 Statements that cannot reach the threshold are not compared: the terms a statement must have at least one of are found from the templates' own weights (without those terms even a perfect match of all others stays below it), and only texts having one are cut up.
 
-A directory has the licence of its best licence file. A file without a statement of its own inherits from the nearest ancestor directory that has one; ancestors are worked out for each directory once, and joined by path.
+A file named as a licence is also compared as a whole with the full texts of licences (``license_texts``): terms weigh by 1 + ln of their count and by their rarity among these texts, lines that name a copyright holder are left out, and at ``whole`` or more the nearest text is the file's licence, whatever its single statements say (such as a title without a version). Files with fewer different terms than any match needs are not compared.
+
+A directory has the licence of its best licence file, matches of whole texts first. A file without a statement of its own inherits from the nearest ancestor directory that has one; ancestors are worked out for each directory once, and joined by path.
 
 All steps are DataFrame functions. Only the templates' weights are broadcast; their number is fixed. Texts are never shuffled.
 
@@ -16,6 +18,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cache
+from importlib.resources import files as resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +56,8 @@ TEMPLATES = (
 LICENSE_FILE = r"^(?i:licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
 _STATEMENT = r"[\n\r]+|(?<=[.!?])[ \t]+(?=[A-Z])"
 _TERM = "[^a-z0-9]+"
+#: A line that names a copyright holder; read alike by Java and (as ASCII) by Python.
+_HOLDER = r"(?im)^\W*copyright\W+(c\b|[0-9]).*$"
 
 
 def terms(text: str) -> dict[str, int]:
@@ -95,6 +101,39 @@ class Weights:
         return sorted(found)
 
 
+def damped(text: str, idf: dict[str, float], other: float) -> dict[str, float]:
+    """The vector of a whole text."""
+    return {t: (1 + math.log(n)) * idf.get(t, other) for t, n in terms(re.sub(_HOLDER, " ", text, flags=re.ASCII)).items()}
+
+
+@cache
+def full_texts() -> tuple[tuple[tuple[str, str], ...], Weights]:
+    """(licence, full text) in order, and their weights."""
+    texts = tuple(sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in resources("tarmac.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")))
+    counts = [terms(re.sub(_HOLDER, " ", t, flags=re.ASCII)) for _, t in texts]
+    idf = {t: math.log((1 + len(texts)) / (1 + sum(t in c for c in counts))) + 1 for t in sorted(set().union(*counts))}
+    other = sum(idf.values()) / len(idf)
+    vectors = []
+    for _, t in texts:
+        v = damped(t, idf, other)
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({t: x / norm for t, x in v.items()})
+    return texts, Weights(idf, other, vectors)
+
+
+def fewest_terms(vectors: list[dict[str, float]], threshold: float) -> int:
+    """A text with fewer different terms reaches ``threshold`` with no vector: the heaviest terms of a unit vector, so many of them, are shorter than that."""
+    least = []
+    for v in vectors:
+        left, n = (threshold - 1e-6) ** 2, 0
+        for w in sorted(v.values(), reverse=True):
+            if left <= 0:
+                break
+            left, n = left - w * w, n + 1
+        least.append(n)
+    return min(least)
+
+
 def _words(text: Column) -> Column:
     return F.split(F.lower(text), _TERM)
 
@@ -133,15 +172,36 @@ def stated(files: DataFrame, weights: Weights, templates: tuple[tuple[str, str],
     return best.groupBy("of_path").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "license", "similarity")).alias("best")).select("of_path", "best.license", "best.similarity")
 
 
-def scanned(files: DataFrame, threshold: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
+def matched(files: DataFrame, threshold: float, path: str = "path", text: str = "text") -> DataFrame:
+    """of_path, license, similarity: the nearest full text of each file named as a licence that matches one as a whole."""
+    spark = files.sparkSession
+    texts, weights = full_texts()
+    vectors = F.broadcast(spark.createDataFrame([(i, t, w) for i, v in enumerate(weights.vectors) for t, w in v.items()], "template int, vector_term string, weight double"))
+    idf = F.broadcast(spark.createDataFrame(list(weights.idf.items()), "known_term string, idf double"))
+    names = F.array(*[F.lit(k) for k, _ in texts])
+    named = files.filter(F.regexp_extract(F.col(path), "([^/]*)$", 1).rlike(LICENSE_FILE)).select(F.col(path).alias("of_path"), F.regexp_replace(text, _HOLDER, " ").alias("body"))
+    terms_of = named.select("of_path", F.sha2("body", 256).alias("id"), _words(F.col("body")).alias("words")).filter(F.size(F.array_distinct("words")) >= fewest_terms(weights.vectors, threshold))
+    one = terms_of.groupBy("of_path", "id").agg(F.first("words").alias("words")).select("of_path", "id", F.explode("words").alias("term")).filter("term <> ''")
+    counted = written(one.groupBy("of_path", "id", "term").agg(F.count(F.lit(1)).alias("n")), "licenses-whole")
+    rated = counted.join(idf, F.col("term") == F.col("known_term"), "left").withColumn("value", (F.log("n") + 1) * F.coalesce("idf", F.lit(weights.other)))
+    norm = rated.groupBy("of_path", "id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).toDF("norm_path", "norm_id", "norm")
+    dot = rated.join(vectors, F.col("term") == F.col("vector_term")).groupBy("of_path", "id", "template").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    near = dot.join(norm, (F.col("of_path") == F.col("norm_path")) & (F.col("id") == F.col("norm_id")))
+    near = near.select("of_path", F.element_at(names, F.col("template") + 1).alias("license"), F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return near.groupBy("of_path").agg(F.min(F.struct((-F.col("similarity")).alias("order"), "license", "similarity")).alias("best")).select("of_path", "best.license", "best.similarity")
+
+
+def scanned(files: DataFrame, threshold: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES, key: str = "doc_id", path: str = "path", text: str = "text", whole: float = 0.9) -> DataFrame:
     """key, path, license, similarity, origin ("stated", "inherited" or null) and inherited_from (the directory) for every row."""
     weights = weights_of(files, templates, text)
-    own = written(stated(files, weights, templates, threshold, path, text), "licenses-stated")
+    found = matched(files, whole, path, text).withColumn("part", F.lit(0)).unionByName(stated(files, weights, templates, threshold, path, text).withColumn("part", F.lit(1)))
+    best = found.groupBy("of_path").agg(F.min(F.struct("part", "license", "similarity")).alias("best"))
+    own = written(best.select("of_path", "best.part", "best.license", "best.similarity"), "licenses-stated")
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
     held = (
         own.filter(F.regexp_extract("of_path", "([^/]*)$", 1).rlike(LICENSE_FILE))
         .groupBy(folder(F.col("of_path")).alias("held_in"))
-        .agg(F.min(F.struct((-F.col("similarity")).alias("order"), "of_path", "license", "similarity")).alias("best"))
+        .agg(F.min(F.struct("part", (-F.col("similarity")).alias("order"), "of_path", "license", "similarity")).alias("best"))
         .select("held_in", F.col("best.license").alias("held_license"), F.col("best.similarity").alias("held_similarity"))
     )
     rows = files.select(F.col(key).alias("own_key"), F.col(path).alias("own_path"), folder(F.col(path)).alias("own_folder"))

@@ -1,7 +1,8 @@
 import math
 import re
+from pathlib import Path
 
-from tarmac.llm.licenses import LICENSE_FILE, TEMPLATES, Weights, op5_licenses, scanned, terms
+from tarmac.llm.licenses import LICENSE_FILE, TEMPLATES, Weights, full_texts, op5_licenses, scanned, terms
 
 
 def brute(rows, threshold=0.6):
@@ -92,3 +93,22 @@ def test_query(spark, sf):
         for name, line in (("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.")):
             if line in d.text:
                 assert stated[d.doc_id] == name
+
+
+def test_whole_license_files(spark):
+    texts = dict(full_texts()[0])
+    head = "Some Project 2.1\n\nCopyright (c) 2019-2024 Ada Example <ada@example.org>\nCopyright 2021, The Example Authors. All rights reserved.\n\n"
+    rows = []
+    for k, (name, text) in enumerate(texts.items()):
+        rows += [(10 * k, f"a/{name}/LICENSE", head + " ".join(text.split())), (10 * k + 1, f"a/{name}/src/x.py", "nothing here"), (10 * k + 2, f"a/{name}/NOTICE", "GNU GENERAL PUBLIC LICENSE")]
+    rows += [(9001, "c/LICENSE", "words of no licence " * 300), (9002, "d/LICENSE", None)]
+    # a real file of another source, where this machine has it
+    other = Path("/usr/share/common-licenses/BSD")
+    if other.exists():
+        rows.append((9003, "e/LICENSE", other.read_text()))
+    got = {r.doc_id: r for r in scanned(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(texts):
+        assert (got[10 * k].license, got[10 * k].origin) == (name, "stated") and got[10 * k].similarity >= 0.9
+        assert (got[10 * k + 1].license, got[10 * k + 1].inherited_from) == (name, f"a/{name}")
+    assert got[9001].license is None and got[9002].license is None
+    assert 9003 not in got or got[9003].license == "BSD-3-Clause"
