@@ -60,6 +60,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def total_bytes(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of all texts; reads their lengths only."""
+    return df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def dealt(by: list[Column], blocks: int) -> Column:
+    """A block from 0, by a hash of ``by``, whatever its types: blocks are of like size however the values are spread."""
+    return F.pmod(F.xxhash64(*by), F.lit(blocks).cast("long"))
+
+
 def range_block(df: DataFrame, key: str, text: str, size: int, most_blocks: int = 1 << 40) -> tuple[Column, int]:
     """An expression for the block of ``key``, and the bytes of all texts.
 

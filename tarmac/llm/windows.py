@@ -1,247 +1,247 @@
-"""Substring dedup: Rabin-Karp hashes of every fixed-length token window.
+"""Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
-Documents are taken in blocks, ranges of their ids, and each window of ``length`` words is hashed (a rolling polynomial modulo 2^64 over the words' own polynomial hashes, all in numpy). Windows are counted in two rounds. First a block asks for each different hash, dealt by it into buckets and packed as 32 bits, whether it occurs elsewhere; one bit comes back. Then it sends the windows that may repeat with 128 bits, the second 64 from other polynomials over other word hashes, and learns for each whether an earlier block has it. A window is a repeat if it occurs earlier in its block or in an earlier block. Overlapping repeats are merged into maximal intervals, which are removed.
+Words are told apart by 128 bits of a cryptographic hash (BLAKE2b) of their bytes. A window's hash is the polynomial of its words' hashes at a fixed random base, modulo the prime 2^61 - 1, twice with independent bases and independent halves of the words' hashes. Neither texts made for it nor chance make two different windows equal: among n windows of w words, n^2 / 2 pairs collide with a probability of at most (w / 2^61)^2 each, together below 10^-6 for the 2 x 10^13 windows of 100 TB.
 
-A window that a third of all documents share is asked once for each block, not once for each document, and a bucket holds its share of different hashes only. A bucket's size does not grow with the input, so 32 bits let through one in a thousand by chance, at any scale; what they let through is judged by 128. The documents are shuffled once, and all passes read that one exchange.
+Documents are taken in blocks dealt by a hash of their ids, so blocks are of like size however ids are spread and whatever their type. Windows are counted in two rounds, both of them rows in ordinary joins and aggregates, whose number grows with the words and with nothing else:
 
-Among n windows, the expected number taken wrongly for repeats is n^2 / 2^129: below 10^-12 for the 2 x 10^13 windows of 100 TB.
+1. Each window has a key, the least hash among its runs of ``length`` / 4 words. Equal windows have equal keys, and neighbours mostly share one, so a block asks for one key in about eight windows: rows (block, key). Keys that two blocks ask for come back.
+2. Of each different window under such a key, a block offers a row (hash, id of the first document that has it, place). Spark counts the rows of each hash and takes the least id; offers that another row precedes are repeats, and their places come back to the block.
 
-Defined cases: a null, empty or blank text has no words; a text shorter than a window has no windows and is kept; ids order documents, nulls before all others and rows that share an id by their texts; rows that repeat are each returned, and the later one's windows all repeat the first's; an empty table gives an empty result; other columns are ignored.
+A block's own repeats are found in the block. Repeats that overlap are merged into maximal intervals, which are removed. However many documents share a passage, each block asks and offers it once, so no key has more rows than there are blocks. The documents are shuffled once, and all three passes read that exchange.
+
+Defined cases: a null, empty or blank text has no words; a text shorter than a window has no windows and is kept; ids of any type order documents, nulls before all others and rows that share an id by their texts (such rows are in one block); rows that repeat are each returned, and the later one's windows all repeat the first's; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import documents, in_order, range_block
+from tarmac.llm.common import dealt, documents, in_order, total_bytes
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 258), np.uint64)
-#: Of both lanes: a number for each byte, and the bases of words and of windows.
-_BYTE, _BASES = _RANDOM[:, :256], _RANDOM[:, 256:] | np.uint64(1)
-#: Bytes that are hashed at once.
-SLICE = 1 << 20
+PRIME = (1 << 61) - 1
+#: The polynomials' bases, one for each lane.
+_BASES = [int(b) % (PRIME - 2) + 2 for b in np.random.default_rng(20240229).integers(0, 1 << 62, 2)]
+#: Words that are hashed at once: few enough for the arrays to stay in the caches.
+SLICE = 1 << 16
+_U = np.uint64
 
 
-class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x < 2^64 modulo the prime."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size - 1, b))]) for b in (self.base, self.inverse))
-        return self.up, self.down
+def times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo the prime, for x and c below it."""
+    high, low, c_high, c_low = x >> _U(32), x & _U(0xFFFFFFFF), _U(c >> 32), _U(c & 0xFFFFFFFF)
+    middle = high * c_low + low * c_high  # below 2^62, and stands for so many 2^32
+    product = low * c_low
+    total = ((high * c_high) << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + (product & _U(PRIME)) + (product >> _U(61))
+    return _reduced(total)
 
 
-def stretches(x: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """The polynomial hash of each x[start:end], from prefix sums."""
-    up, down = powers.to(len(x))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * down[: len(x)])])
-    return (total[end] - total[start]) * up[start]
+def rolled(x: np.ndarray, length: int, base: int) -> np.ndarray:
+    """The polynomial of each ``length`` consecutive values, by doubling: of two stretches side by side, that of both."""
+    if len(x) < length:
+        return x[:0]
+    h, size = x, 1
+    for bit in bin(length)[3:]:
+        h = _reduced(times(h[: len(h) - size], pow(base, size, PRIME)) + h[size:])
+        size *= 2
+        if bit == "1":
+            h = _reduced(times(h[:-1], base) + x[size : size + len(h) - 1])
+            size += 1
+    return h
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return h ^ (h >> _U(32))
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all; parted by space and 9 to 13."""
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    parts = pc.ascii_split_whitespace(texts)
+    words, ends = parts.flatten(), parts.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(real)])
+    return np.diff(before[ends - ends[0]]), words.filter(pa.array(real))
 
 
 class Hasher:
+    """Hashes of windows, in one of two lanes."""
+
     def __init__(self, length: int, lane: int = 0):
-        self.length, self.table, self.bytes, self.words = length, _BYTE[lane], _Powers(_BASES[lane, 0]), _Powers(_BASES[lane, 1])
+        self.length, self.lane = length, lane
+
+    def lanes(self, words: pa.Array) -> np.ndarray:
+        """128 bits of each word, as two columns."""
+        coded = words.dictionary_encode()
+        known = b"".join([blake2b(w, digest_size=16).digest() for w in coded.dictionary.cast(pa.binary()).to_pylist()])
+        return np.frombuffer(known, _U).reshape(-1, 2)[coded.indices.to_numpy()]
+
+    def of_words(self, lanes: np.ndarray) -> np.ndarray:
+        """Of every ``length`` consecutive words, whether or not a text ends between them."""
+        parts = [rolled(_reduced(lanes[at : at + SLICE + self.length - 1, self.lane]), self.length, _BASES[self.lane]) for at in range(0, max(1, len(lanes) - self.length + 1), SLICE)]
+        return np.concatenate(parts)
 
     def word_hashes(self, text: bytes) -> np.ndarray:
-        parts, at = [], 0
-        while at < len(text):
-            end = at + SLICE
-            if end < len(text):
-                while end < len(text) and not _SPACE[text[end]]:
-                    end += 1
-            x = np.frombuffer(text, np.uint8, min(end, len(text)) - at, at)
-            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[x], [True]]).view(np.int8)))
-            start, stop = edge[::2], edge[1::2]
-            parts.append(_mixed(stretches(self.table[x], start, stop, self.bytes) + (stop - start).astype(np.uint64)))
-            at = end
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return self.lanes(words_of(_strings([text]))[1])[:, self.lane]
 
     def windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text; of all windows in order, the index of the first word among all words, and the hash."""
-        joined, sizes, some, held = [], [], [], 0
-        counts = np.zeros(len(texts), np.int64)
-
-        def flush() -> None:
-            nonlocal held
-            if some:
-                h = self.word_hashes(b"\n".join(some))
-                joined.append(h)
-            some.clear()
-            held = 0
-
-        for t in texts:
-            some.append(t)
-            held += len(t)
-            if held >= SLICE:
-                flush()
-        flush()
-        words = np.concatenate(joined) if joined else np.zeros(0, np.uint64)
-        counts[:] = [len(t.split()) for t in texts]
-        end = np.repeat(np.cumsum(counts), counts)
-        first = np.flatnonzero(np.arange(len(words)) + self.length <= end)
-        return counts, first, _mixed(stretches(words, first, first + self.length, self.words))
+        counts, words = words_of(_strings(texts))
+        first = starts_of(counts, self.length)
+        return counts, first, self.of_words(self.lanes(words))[first]
 
 
-def _texts(table: pa.Table, text: str) -> list[bytes]:
-    return [b if b is not None else b"" for b in table.column(text).cast(pa.binary()).to_pylist()]
+def starts_of(counts: np.ndarray, length: int) -> np.ndarray:
+    """The first words of all windows, among all words."""
+    ends = np.repeat(np.cumsum(counts), counts)
+    return np.flatnonzero(np.arange(len(ends)) + length <= ends)
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of ``hashes`` by bucket, else as they stand, and where each bucket starts in it."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+def _strings(texts: list[bytes]) -> pa.Array:
+    return pc.cast(pa.array(texts, pa.binary()), options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
 
 
-def asked(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    """Rows (block, bucket, hashes): 32 bits of each of the different ``hashes``, beside those that chose the bucket."""
-    order, starts = _by_bucket(hashes, buckets)
-    used = np.flatnonzero(np.diff(starts))
-    h = hashes[order].astype(np.uint32)
-    return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([h[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
+def least_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    spanned = 1
+    while spanned < width:
+        step = min(spanned, width - spanned)
+        x = np.minimum(x[:-step], x[step:])
+        spanned += step
+    return x
 
 
-def packed(bits: np.ndarray) -> bytes:
-    return zlib.compress(np.packbits(bits).tobytes(), 1)
+class Block:
+    """The windows of a block's texts: words of each text, the windows' first words, and their keys."""
 
+    def __init__(self, texts: pa.Array, length: int):
+        self.counts, self.words = words_of(texts)
+        self.length, self.lanes = length, Hasher(length).lanes(self.words)
+        self.first = starts_of(self.counts, length)
+        gram = max(1, length // 4)
+        # any function of the words will do for keys; the last bit is left for ``often``
+        h, size = self.lanes[:, 0].copy(), 1
+        for _ in range(gram - 1):
+            h = h[:-1] * _U(0x9E3779B97F4A7C15) + self.lanes[size:, 0] if len(h) > 1 else h[:0]
+            size += 1
+        self.grams, self.width = _mixed(h) & ~_U(1), length - gram + 1
 
-def elsewhere(table: pa.Table) -> pa.Table:
-    """For one bucket: rows (block, bucket, flags), a bit for each hash asked: whether it is asked again."""
-    each = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
-    again = pd.Series(np.concatenate(each)).duplicated(keep=False).to_numpy()
-    ends = np.cumsum([len(x) for x in each])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([packed(again[e - len(x) : e]) for x, e in zip(each, ends)], pa.binary())})
+    def keys(self) -> np.ndarray:
+        return (least_of(self.grams, self.width) if len(self.grams) >= self.width else self.grams[:0])[self.first]
 
+    def often(self) -> np.ndarray:
+        """Whether the words that gave a window its key occur again in the block; else the window can't."""
+        again = pd.Series(self.grams).duplicated(keep=False).to_numpy()
+        return (least_of(self.grams | again, self.width)[self.first] & _U(1)).astype(bool) if len(self.first) else np.zeros(0, bool)
 
-def answers(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
-    """The bits that came back, in the order of ``hashes``."""
-    order, starts = _by_bucket(hashes, buckets)
-    out = np.zeros(len(hashes), bool)
-    for b, bits in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):
-        own = order[starts[b] : starts[b + 1]]
-        out[own] = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(own)).view(bool)
-    return out
+    def hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both lanes of the chosen windows."""
+        return tuple(Hasher(self.length, lane).of_words(self.lanes)[self.first[chosen]] if len(chosen) else np.zeros(0, _U) for lane in (0, 1))
 
+    def repeated(self) -> np.ndarray:
+        """Whether each window occurs earlier in the block."""
+        out = np.zeros(len(self.first), bool)
+        some = np.flatnonzero(self.often())
+        low, high = self.hashes(some)
+        out[some] = pd.DataFrame({"a": low, "b": high}).duplicated().to_numpy()
+        return out
 
-def different(hashes: np.ndarray) -> np.ndarray:
-    return hashes[~pd.Series(hashes).duplicated().to_numpy()]
 
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(_U).view(np.int64), pa.int64())
 
-def repeated(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
-    """Whether each of a block's ``hashes`` occurs again in it or, by the bits that came back, elsewhere."""
-    own = different(hashes)
-    again = pd.Series(hashes).duplicated(keep=False).to_numpy()
-    found = own[answers(own, flags, buckets)]
-    return again | pd.Series(hashes).isin(found).to_numpy() if len(found) else again
 
+def _block_of(table: pa.Table) -> int:
+    return table.column("block")[0].as_py() if table.num_rows else 0
 
-class _Suspects:
-    """The windows of a block that may repeat: where they are in the block, and their 128 bits."""
 
-    def __init__(self, texts: list[bytes], length: int, flags: pa.Table, buckets: int):
-        self.counts, first, low = Hasher(length).windows(texts)
-        may = np.flatnonzero(repeated(low, flags, buckets))
-        self.first, self.low = first[may], low[may]
-        self.high = Hasher(length, 1).windows(texts)[2][may] if len(may) else low[:0]
-        self.again = pd.DataFrame({"a": self.low, "b": self.high}).duplicated().to_numpy()
+def _texts(table: pa.Table) -> pa.Array:
+    found = table.column("body").combine_chunks()
+    return found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
 
 
-def _offered(table: pa.Table, own: _Suspects, buckets: int) -> pa.Table:
-    low, high = own.low[~own.again], own.high[~own.again]
-    order, starts = _by_bucket(low, buckets)
-    both = np.stack([low[order], high[order]], 1)
-    used = np.flatnonzero(np.diff(starts))
-    block = table.column("block")[0].as_py() if table.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([both[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
+def spans_of(gone: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of ``gone``, cut where a text ends: text, start and end in it."""
+    base = np.concatenate([[0], np.cumsum(counts)])
+    edge = np.concatenate([[False], gone, [False]])
+    change = np.flatnonzero(edge[1:] != edge[:-1])
+    inner = base[1:-1]
+    inner = inner[(inner > 0) & (inner < len(gone))]
+    cut = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
+    start, end = np.sort(np.concatenate([change[::2], cut])), np.sort(np.concatenate([change[1::2], cut]))
+    of = np.searchsorted(base, start, side="right") - 1
+    return of, start - base[of], end - base[of]
 
 
-def _earlier(table: pa.Table) -> pa.Table:
-    """For one bucket: a bit for each window offered: whether an earlier block offers it too."""
-    table = table.take(pa.compute.sort_indices(table.column("block")))
-    each = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table.column("hashes")]
-    both = np.concatenate(each)
-    again = pd.DataFrame({"a": both[:, 0], "b": both[:, 1]}).duplicated().to_numpy()
-    ends = np.cumsum([len(x) for x in each])
-    flags = [packed(again[e - len(x) : e]) for x, e in zip(each, ends)]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary()), "kind": pa.array(np.ones(len(flags), np.int32))})
+def lists_of(of: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)),
+        pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["start", "end"]),
+    )
 
 
 def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
     """key, n_words, n_removed, intervals (array of start, end in words), kept_text (the kept words joined by one blank)."""
-    block, total = range_block(docs, key, text, block_bytes)
-    buckets = max(1, -(-total // block_bytes))
-    placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), block.alias("block"))
+    blocks = max(1, -(-total_bytes(docs, text) // block_bytes))
+    placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), dealt([F.col(key)], blocks).alias("block"))
+    kind = docs.schema[key].dataType
 
     def ask(table: pa.Table) -> pa.Table:
-        own = in_order(table, "key", "body")
-        _, _, h = Hasher(length).windows(_texts(own, "body"))
-        return asked(own.column("block")[0].as_py(), different(h), buckets)
+        keys = pd.unique(Block(_texts(table), length).keys())
+        return pa.table({"block": pa.array(np.full(len(keys), _block_of(table)), pa.int64()), "asked": _longs(keys)})
 
-    def offer(table: pa.Table, flags: pa.Table) -> pa.Table:
+    def offer(table: pa.Table, known: pa.Table) -> pa.Table:
         own = in_order(table, "key", "body")
-        return _offered(own, _Suspects(_texts(own, "body"), length, flags, buckets), buckets)
-
-    def remove(table: pa.Table, flags: pa.Table) -> pa.Table:
+        block = Block(_texts(own), length)
+        shared = pd.Series(block.keys()).isin(known.column("asked").to_numpy().view(_U)).to_numpy()
+        some = np.flatnonzero(shared & ~block.repeated()) if shared.any() else np.zeros(0, np.int64)
+        low, high = block.hashes(some)
+        of = np.searchsorted(np.cumsum(block.counts), block.first[some], side="right")
+        return pa.table({"low": _longs(low), "high": _longs(high), "key": own.column("key").combine_chunks().take(pa.array(of)), "place": pa.array((_block_of(own) << 32) + block.first[some], pa.int64())})
+
+    def remove(table: pa.Table, found: pa.Table) -> pa.Table:
         own = in_order(table, "key", "body")
-        texts = _texts(own, "body")
-        kind = flags.column("kind")
-        suspects = _Suspects(texts, length, flags.filter(pa.compute.equal(kind, 0)), buckets)
-        counts, first, again = suspects.counts, suspects.first, suspects.again.copy()
-        again[~again] = answers(suspects.low[~again], flags.filter(pa.compute.equal(kind, 1)), buckets)
+        block = Block(_texts(own), length)
+        counts = block.counts
+        again = np.concatenate([block.first[block.repeated()], found.column("first").to_numpy()])
         step = np.zeros(int(counts.sum()) + 1, np.int64)
-        np.add.at(step, first[again], 1)
-        np.add.at(step, first[again] + length, -1)
-        gone = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
-        edge = np.flatnonzero(gone[1:] != gone[:-1])
-        start, end = edge[::2], edge[1::2]
-        # an interval may end where the next document's begins
+        np.add.at(step, again, 1)
+        np.add.at(step, again + length, -1)
+        gone = np.cumsum(step[:-1]) > 0
+        of, start, end = spans_of(gone, counts)
         base = np.concatenate([[0], np.cumsum(counts)])
-        inner = base[1:-1]
-        cut = inner[gone[inner] & gone[inner + 1]] if len(inner) else inner
-        start, end = np.sort(np.concatenate([start, np.unique(cut)])), np.sort(np.concatenate([end, np.unique(cut)]))
-        of = np.searchsorted(base, start, side="right") - 1
-        spans = np.searchsorted(of, np.arange(len(texts) + 1))
-        removed, kept = np.zeros(len(texts), np.int64), []
-        for i, t in enumerate(texts):
-            words = t.split()
-            if spans[i] < spans[i + 1]:
-                a, b = start[spans[i] : spans[i + 1]] - base[i], end[spans[i] : spans[i + 1]] - base[i]
-                removed[i] = (b - a).sum()
-                left = []
-                for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)]):
-                    left += words[x:y]
-                words = left
-            kept.append(b" ".join(words))
-        at = (start - base[of]).astype(np.int64), (end - base[of]).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pa.StructArray.from_arrays([pa.array(at[0]), pa.array(at[1])], ["start", "end"]))
-        return pa.table({"key": own.column("key"), "n_words": pa.array(counts), "n_removed": pa.array(removed), "intervals": lists, "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    key_type = docs.schema[key].dataType
-    out = T.StructType([T.StructField("key", key_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept_text", T.StringType())])
-    asks, bits = "block long, bucket long, hashes binary", "block long, bucket long, flags binary"
-    found = placed.groupBy("block").applyInArrow(ask, asks).groupBy("bucket").applyInArrow(elsewhere, bits)
-    settled = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(offer, asks).groupBy("bucket").applyInArrow(_earlier, bits + ", kind int")
-    flags = found.withColumn("kind", F.lit(0)).union(settled)
-    return placed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
+        left = np.concatenate([[0], np.cumsum(~gone)])[base]
+        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), block.words.filter(pa.array(~gone))), " ")
+        return pa.table({"key": own.column("key"), "n_words": pa.array(counts.astype(np.int64)), "n_removed": pa.array(counts - np.diff(left), pa.int64()), "intervals": lists_of(of, start, end, len(counts)), "kept_text": kept})
+
+    out = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept_text", T.StringType())])
+    offered = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("key", kind), T.StructField("place", T.LongType())])
+    by_block = placed.groupBy("block")
+    # each is shuffled once by its hash; the count and the join back read the same exchange
+    asked = by_block.applyInArrow(ask, "block long, asked long").repartition("asked")
+    shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min("block").alias("one"), F.max("block").alias("other")).filter("one < other").select("shared")
+    known = asked.join(shared, F.col("asked") == F.col("shared")).select("block", "asked")
+    offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, offered).repartition("low", "high")
+    counted = offers.groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("named"), F.min("key").alias("least")).filter("rows > 1")
+    # a block offers a window once and rows that share an id are in one block, so no two rows of a window are of one id
+    later = F.col("key").isNotNull() & ((F.col("named") < F.col("rows")) | (F.col("key") > F.col("least")))
+    found = offers.join(counted, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))).filter(later)
+    found = found.select(F.shiftright("place", 32).alias("block"), F.col("place").bitwiseAND((1 << 32) - 1).alias("first"))
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
 
 
 def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
