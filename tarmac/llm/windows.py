@@ -194,7 +194,7 @@ def lists_of(of: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> p
     )
 
 
-def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", block_bytes: int = 12_000_000) -> DataFrame:
+def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
     """key, n_words, n_removed, intervals (array of start, end in words), kept_text (the kept words joined by one blank)."""
     blocks = max(1, -(-total_bytes(docs, text) // block_bytes))
     placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), dealt([F.col(key)], blocks).alias("block"))
@@ -236,7 +236,9 @@ def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id",
     shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min("block").alias("one"), F.max("block").alias("other")).filter("one < other").select("shared")
     known = asked.join(shared, F.col("asked") == F.col("shared")).select("block", "asked")
     offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, offered).repartition("low", "high")
-    counted = offers.groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("named"), F.min("key").alias("least")).filter("rows > 1")
+    counted = offers.groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("named"), F.min("key").alias("least"), F.min("place").alias("one"), F.max("place").alias("other"))
+    # by places, not by the count: so the count needs the same columns as the join back, and both read one exchange
+    counted = counted.filter("one < other").select("l", "h", "rows", "named", "least")
     # a block offers a window once and rows that share an id are in one block, so no two rows of a window are of one id
     later = F.col("key").isNotNull() & ((F.col("named") < F.col("rows")) | (F.col("key") > F.col("least")))
     found = offers.join(counted, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))).filter(later)
