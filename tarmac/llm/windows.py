@@ -229,18 +229,18 @@ def deduplicated_windows(docs: DataFrame, length: int = 20, key: str = "doc_id",
         return pa.table({"key": own.column("key"), "n_words": pa.array(counts.astype(np.int64)), "n_removed": pa.array(counts - np.diff(left), pa.int64()), "intervals": lists_of(of, start, end, len(counts)), "kept_text": kept})
 
     out = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept_text", T.StringType())])
-    offered = T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("key", kind), T.StructField("place", T.LongType())])
+    offered = T.StructType([T.StructField("low", T.LongType(), False), T.StructField("high", T.LongType(), False), T.StructField("key", kind), T.StructField("place", T.LongType(), False)])
     by_block = placed.groupBy("block")
     # each is shuffled once by its hash; the count and the join back read the same exchange
-    asked = by_block.applyInArrow(ask, "block long, asked long").repartition("asked")
+    asked = by_block.applyInArrow(ask, T.StructType([T.StructField("block", T.LongType(), False), T.StructField("asked", T.LongType(), False)])).repartition("asked")
     shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min("block").alias("one"), F.max("block").alias("other")).filter("one < other").select("shared")
     known = asked.join(shared, F.col("asked") == F.col("shared")).select("block", "asked")
     offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, offered).repartition("low", "high")
     counted = offers.groupBy(F.col("low").alias("l"), F.col("high").alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("named"), F.min("key").alias("least"), F.min("place").alias("one"), F.max("place").alias("other"))
-    # by places, not by the count: so the count needs the same columns as the join back, and both read one exchange
+    # by places, not by the count, and with no condition that could move below the exchange: so the count and the join back read one
     counted = counted.filter("one < other").select("l", "h", "rows", "named", "least")
     # a block offers a window once and rows that share an id are in one block, so no two rows of a window are of one id
-    later = F.col("key").isNotNull() & ((F.col("named") < F.col("rows")) | (F.col("key") > F.col("least")))
+    later = F.when(F.col("key").isNull(), False).otherwise((F.col("named") < F.col("rows")) | (F.col("key") > F.col("least")))
     found = offers.join(counted, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))).filter(later)
     found = found.select(F.shiftright("place", 32).alias("block"), F.col("place").bitwiseAND((1 << 32) - 1).alias("first"))
     return by_block.cogroup(found.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
