@@ -6,16 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING = ("null", "zero")
+#: How numbers are written; Spark's own casts also take type suffixes such as 1.0d, and NaN.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 
 def as_double(c: Column) -> Column:
-    """Null where the text is no number."""
-    return F.trim(c).try_cast("double")
+    """Null where the text is no number; NaN is none."""
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def as_int(c: Column) -> Column:
-    """0 where the text is no number; else cut to an integer."""
-    return F.coalesce(as_double(c), F.lit(0.0)).cast("int")
+    """0 where the text is no number, or one beyond the type; else cut to an integer."""
+    return F.coalesce(as_double(c).try_cast("int"), F.lit(0))
 
 
 def filled(c: Column, missing: str = "null") -> Column:

@@ -65,13 +65,18 @@ def partials(flights: DataFrame, airlines: tuple[str, ...] = flags.AIRLINES, siz
     """Sums and counts that add up: of one chunk of flights, or of each value of ``by``."""
     delay = F.when(~flags.cancelled(), F.col("dep_delay"))
     sums = [*counts(), F.count_if(flags.late()).alias("late"), F.sum(delay).alias("delay_sum"), F.count(delay).alias("delay_count")]
-    return tumble(flights.filter(flags.of_airlines(airlines)), size, ["airline", *by], sums)
+    chosen = flags.eos_safe(flags.of_airlines(airlines)) if flights.isStreaming else flags.of_airlines(airlines)
+    return tumble(flights.filter(chosen), size, ["airline", *by], sums)
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """The status out of partials of any number of chunks."""
     sums = [F.sum(c).alias(c) for c in ("num_flights", "completed", "cancelled", "diverted", "late", "delay_sum", "delay_count")]
-    total = parts.groupBy("window_start", "window_end", "airline").agg(*sums)
+    return finished(parts.groupBy("window_start", "window_end", "airline").agg(*sums))
+
+
+def finished(total: DataFrame) -> DataFrame:
+    """The status out of whole windows' sums."""
     return total.select(
         "window_start", "window_end", "airline", "num_flights", "completed", "cancelled", "diverted",
         (F.col("delay_sum") / F.nullif(F.col("delay_count"), F.lit(0))).alias("dep_delay_mean"),

@@ -39,10 +39,12 @@ def airports(flights: DataFrame, size: str, least: int = LEAST) -> DataFrame:
     return tumble(_completed(flights), size, ["origin_airport_id"], numbers()).filter(F.col("num_flights") >= least)
 
 
-def worst(flights: DataFrame, size: str, listed: int = LISTED) -> DataFrame:
-    """window_start, origin_airport_id, delayed_flights. Flights are ranked before they are gathered, and only severe ones are, so no group gathers more than ``listed``; each delay is first cut down within slices of an airport, lest a large airport's window be sorted in one task."""
+def worst(flights: DataFrame, size: str, listed: int = LISTED, of: DataFrame | None = None) -> DataFrame:
+    """window_start, origin_airport_id, delayed_flights; only of the windows' airports in ``of``, if given. Flights are ranked before they are gathered, and only severe ones are, so no group gathers more than ``listed``; each delay is first cut down within slices of an airport, lest a large airport's window be sorted in one task."""
     rows = _completed(flights).filter(_entry().isNotNull()).select(F.window("rowtime", size)["start"].alias("window_start"), "origin_airport_id", _entry().alias("entry"), F.pmod(F.hash("event_id"), F.lit(16)).alias("slice"))
     key = ["window_start", "origin_airport_id"]
+    if of is not None:
+        rows = rows.join(of.select(*key), key, "left_semi")
     for part in (["slice"], []):
         rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key, *part).orderBy("entry"))).filter(F.col("n") <= listed)
     return rows.groupBy(*key).agg(delay_list(F.array_sort(F.collect_list("entry"))).alias("delayed_flights"))
@@ -53,10 +55,10 @@ def _order() -> list[Column]:
 
 
 def ranking(flights: DataFrame, size: str, least: int = LEAST, ranked: int = RANKED, listed: int = LISTED) -> DataFrame:
-    """ts, airport_rank 1.., and stage one's columns: batch. The lists are made for all airports but joined to the ranked ones only."""
+    """ts, airport_rank 1.., and stage one's columns: batch. Airports are ranked first, and flights are listed of the ranked ones only; their number is known by then, so the plan can broadcast them if they are few."""
     rank = F.row_number().over(Window.partitionBy("window_start").orderBy(*_order()))
     top = airports(flights, size, least).withColumn("airport_rank", rank.cast("long")).filter(F.col("airport_rank") <= ranked)
-    return top.join(worst(flights, size, listed), ["window_start", "origin_airport_id"], "left").select(
+    return top.join(worst(flights, size, listed, top), ["window_start", "origin_airport_id"], "left").select(
         F.col("window_start").alias("ts"), "airport_rank", "origin_airport_id", "num_flights", "severe_delays", "dep_delay_mean", "dep_delay_max",
         F.coalesce("delayed_flights", F.lit("[]")).alias("delayed_flights"),
     )

@@ -96,10 +96,15 @@ def out_of_order(scheduled: DataFrame) -> DataFrame:
     return watched(scheduled).agg(F.count(F.lit(1)).alias("events"), F.count_if("held").alias("held"), F.count_if(F.col("event_ms") < F.col("highest_ms")).alias("out_of_order"))
 
 
-def lateness(scheduled: DataFrame, watermark_seconds: float, window_ms: int = HOUR_MS) -> DataFrame:
-    """With ``late``: whether the event's window had closed when it arrived, by a watermark that follows every event."""
+def too_late(watermark_seconds: float, window_ms: int = HOUR_MS) -> Column:
+    """Whether an event's window had closed when it arrived, by a watermark that follows every event."""
     closes = (F.floor(F.col("event_ms") / window_ms) + 1) * window_ms
-    return watched(scheduled).withColumn("late", F.coalesce(F.col("highest_ms") - F.lit(int(watermark_seconds * 1000)) >= closes, F.lit(False)))
+    return F.coalesce(F.col("highest_ms") - F.lit(int(watermark_seconds * 1000)) >= closes, F.lit(False))
+
+
+def lateness(scheduled: DataFrame, watermark_seconds: float, window_ms: int = HOUR_MS) -> DataFrame:
+    """With ``late``: see ``too_late``."""
+    return watched(scheduled).withColumn("late", too_late(watermark_seconds, window_ms))
 
 
 def loss(flights: DataFrame, d: Disorder, watermark_seconds: float, airlines: tuple[str, ...] = flags.AIRLINES) -> DataFrame:

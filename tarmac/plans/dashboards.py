@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.operators.ordered import numbered
+
 SERIES = ("num_flights", "dep_delay_mean", "cancellation_rate", "late_departure_rate")
 #: Fields of a point beside its time and its tag.
 FIELDS = ("num_flights", "completed", "cancelled", "diverted", "dep_delay_mean", "cancellation_rate", "late_departure_rate")
@@ -15,16 +17,23 @@ def ranged(status: DataFrame, start: str, end: str) -> DataFrame:
     return status.filter((F.col("window_start") >= F.lit(start).cast("timestamp_ntz")) & (F.col("window_start") < F.lit(end).cast("timestamp_ntz")))
 
 
+def _day() -> Column:
+    return F.floor(F.unix_seconds(F.col("time").cast("timestamp")) / 86400)
+
+
 def series(status: DataFrame, field: str, start: str, end: str) -> DataFrame:
+    """time, metric, value, and the position by time, then metric: the order in which a dashboard draws them."""
     if field not in FIELDS:
         raise ValueError(f"no series {field!r}")
-    return ranged(status, start, end).select(F.col("window_start").alias("time"), F.col("airline").alias("metric"), F.col(field).alias("value"))
+    points = ranged(status, start, end).select(F.col("window_start").alias("time"), F.col("airline").alias("metric"), F.col(field).alias("value"))
+    return numbered(points, _day(), ["time", "metric"], "position")
 
 
 def long(status: DataFrame, start: str, end: str, fields: tuple[str, ...] = SERIES) -> DataFrame:
-    """time, airline, field, value; nulls make no point."""
+    """time, airline, field, value, position by time; nulls make no point."""
     wide = ranged(status, start, end).select(F.col("window_start").alias("time"), "airline", *[F.col(f).cast("double").alias(f) for f in fields])
-    return wide.unpivot(["time", "airline"], list(fields), "field", "value").filter("value IS NOT NULL")
+    points = wide.unpivot(["time", "airline"], list(fields), "field", "value").filter("value IS NOT NULL")
+    return numbered(points, _day(), ["time", "airline", "field"], "position")
 
 
 def legend(points: DataFrame) -> DataFrame:

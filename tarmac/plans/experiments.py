@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions import flags
-from tarmac.operators.replay import Disorder, lateness, schedule
+from tarmac.operators.replay import Disorder, schedule, too_late, watched
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,18 @@ EXPERIMENTS = (
 def completeness(flights: DataFrame, experiments: tuple[Experiment, ...] = EXPERIMENTS, airlines: tuple[str, ...] = flags.AIRLINES) -> DataFrame:
     """experiment, events, held_events, late_events: of the given airlines' events."""
 
-    def one(e: Experiment) -> DataFrame:
-        rows = lateness(schedule(flights, e.disorder), e.watermark_seconds).filter(flags.of_airlines(airlines))
-        return rows.agg(F.lit(e.name).alias("experiment"), F.count(F.lit(1)).alias("events"), F.count_if("held").alias("held_events"), F.count_if("late").alias("late_events"))
+    alike: dict[Disorder, list[Experiment]] = {}
+    for e in experiments:
+        alike.setdefault(e.disorder, []).append(e)
 
-    return reduce(DataFrame.unionByName, map(one, experiments))
+    def one(d: Disorder, own: list[Experiment]) -> DataFrame:
+        """Experiments of one disorder differ in their watermark only: one pass serves them all."""
+        rows = watched(schedule(flights, d)).filter(flags.of_airlines(airlines))
+        counts = rows.agg(F.count(F.lit(1)).alias("events"), F.count_if("held").alias("held_events"), *[F.count_if(too_late(e.watermark_seconds)).alias(f"late{i}") for i, e in enumerate(own)])
+        each = F.array(*[F.struct(F.lit(e.name).alias("experiment"), F.col(f"late{i}").alias("late_events")) for i, e in enumerate(own)])
+        return counts.select("events", "held_events", F.inline(each)).select("experiment", "events", "held_events", "late_events")
+
+    return reduce(DataFrame.unionByName, [one(d, own) for d, own in alike.items()])
 
 
 def expected_loss(d: Disorder, watermark_seconds: float, window_seconds: float = 3600) -> float:

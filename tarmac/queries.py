@@ -16,6 +16,7 @@ from tarmac.operators import airline_status, airport_ranking, merge, replay
 from tarmac.operators.ordered import numbered
 from tarmac.plans import dashboards, experiments
 from tarmac.schema import Q1, RAW_DOUBLE, RAW_INT
+from tarmac.sources import avro
 from tarmac.sources import flights as source
 from tarmac.sources.flights import EVENT_AIRLINES
 from tarmac.sources.streams import end_of_stream
@@ -63,17 +64,25 @@ RAW = r"""raw AS (
            CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'x' ELSE '2025' END AS y,
            CAST(event_id % 15 AS VARCHAR) AS m, CAST(event_id % 33 AS VARCHAR) AS d,
            CASE WHEN event_id % 41 <> 0 THEN '  ' || event_type || chr(9) || ' ' END AS carrier,
-           CASE WHEN event_id % 43 = 0 THEN 'bad' ELSE CAST(user_id AS VARCHAR) END AS origin,
-           CAST(event_id % 97 AS VARCHAR) || '.7' AS dest,
+           CASE WHEN event_id % 43 = 0 THEN 'bad' WHEN event_id % 59 = 0 THEN 'NaN' WHEN event_id % 61 = 0 THEN '1e12' ELSE CAST(user_id AS VARCHAR) END AS origin,
+           CASE WHEN event_id % 67 = 0 THEN 'inf' WHEN event_id % 71 = 0 THEN '12f' ELSE CAST(event_id % 97 AS VARCHAR) || '.7' END AS dest,
            CASE WHEN event_id % 47 <> 0 THEN CASE WHEN event_id % 50 = 1 THEN '2400' ELSE CAST((event_id * 37) % 2401 AS VARCHAR) END END AS crs,
-           CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 53 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS delay,
+           CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 53 = 0 THEN 'n/a' WHEN event_id % 73 = 0 THEN 'NaN' WHEN event_id % 79 = 0 THEN '1.0d' WHEN event_id % 83 = 0 THEN ' -1.5e1' || chr(9) ELSE CAST(value AS VARCHAR) END AS delay,
            CASE WHEN event_id % 17 = 0 THEN '1.00' WHEN event_id % 19 <> 0 THEN '0.00' END AS cancelled,
            CASE WHEN event_id % 23 = 0 THEN '1.00' ELSE '0.00' END AS diverted
     FROM events)"""
-INTS = """ints AS (
-    SELECT *, CAST(trunc(coalesce(TRY_CAST(y AS DOUBLE), 0)) AS INT) AS year, CAST(trunc(coalesce(TRY_CAST(m AS DOUBLE), 0)) AS INT) AS month,
-           CAST(trunc(coalesce(TRY_CAST(d AS DOUBLE), 0)) AS INT) AS day_of_month, CAST(trunc(coalesce(TRY_CAST(origin AS DOUBLE), 0)) AS INT) AS origin_airport_id,
-           CAST(trunc(coalesce(TRY_CAST(dest AS DOUBLE), 0)) AS INT) AS dest_airport_id, CAST(trunc(coalesce(TRY_CAST(crs AS DOUBLE), 0)) AS INT) AS crs_dep_time
+
+
+def double_sql(text: str) -> str:
+    return f"CASE WHEN regexp_full_match({text}, '\\s*[+-]?[0-9]*[.]?[0-9]*([eE][+-]?[0-9]+)?\\s*') THEN TRY_CAST(trim({text}, ' ' || chr(9)) AS DOUBLE) END"
+
+
+def int_sql(text: str) -> str:
+    return f"coalesce(TRY_CAST(trunc({double_sql(text)}) AS INT), 0)"
+
+
+INTS = f"""ints AS (
+    SELECT *, {int_sql('y')} AS year, {int_sql('m')} AS month, {int_sql('d')} AS day_of_month, {int_sql('origin')} AS origin_airport_id, {int_sql('dest')} AS dest_airport_id, {int_sql('crs')} AS crs_dep_time
     FROM raw)"""
 PARTS = """parts AS (
     SELECT *, CASE WHEN crs_dep_time = 2400 THEN 0 ELSE (crs_dep_time // 100) % 24 END AS hour, CASE WHEN crs_dep_time = 2400 THEN 0 ELSE crs_dep_time % 100 END AS minute,
@@ -264,7 +273,7 @@ def coerce_int(spark, sf_dir):
     return source.raw_records(spark, sf_dir).select("event_id", *[prepare.as_int(F.col(r)).alias(n) for r, n in RAW_INT.items()])
 
 
-@query(f"WITH {RAW} SELECT event_id, round(TRY_CAST(delay AS DOUBLE), 6) AS dep_delay FROM raw")
+@query(f"WITH {RAW} SELECT event_id, round({double_sql('delay')}, 6) AS dep_delay FROM raw")
 def coerce_double(spark, sf_dir):
     return source.raw_records(spark, sf_dir).select("event_id", prepare.as_double(F.col("DEP_DELAY")).alias("dep_delay"))
 
@@ -274,7 +283,7 @@ def _missing(name: str, policy: str, sql: str):
         return source.raw_records(spark, sf_dir).select("event_id", *[prepare.filled(prepare.as_double(F.col(r)), policy).alias(RAW_DOUBLE[r]) for r in ("DEP_DELAY", "CANCELLED", "DIVERTED")])
 
     run.__name__ = name
-    query(f"WITH {RAW} SELECT event_id, " + ", ".join(f"round({sql % f'TRY_CAST({a} AS DOUBLE)'}, 6) AS {b}" for a, b in (("delay", "dep_delay"), ("cancelled", "cancelled"), ("diverted", "diverted"))) + " FROM raw")(run)
+    query(f"WITH {RAW} SELECT event_id, " + ", ".join(f"round({sql % double_sql(a)}, 6) AS {b}" for a, b in (("delay", "dep_delay"), ("cancelled", "cancelled"), ("diverted", "diverted"))) + " FROM raw")(run)
 
 
 _missing("missing_policy_null", "null", "%s")
@@ -332,7 +341,7 @@ def event_range(spark, sf_dir):
 
 @query(
     f"""WITH {PREPARED} SELECT event_id, (epoch_us(coalesce(scheduled, month_start)) // 1000) AS event_time, year, month, day_of_month, CASE WHEN carrier IS NULL THEN '' ELSE event_type END AS airline,
-    origin_airport_id, dest_airport_id, crs_dep_time, round(TRY_CAST(delay AS DOUBLE), 6) AS dep_delay, CAST(NULL AS DOUBLE) AS arr_delay, TRY_CAST(cancelled AS DOUBLE) AS cancelled, TRY_CAST(diverted AS DOUBLE) AS diverted FROM times"""
+    origin_airport_id, dest_airport_id, crs_dep_time, round({double_sql('delay')}, 6) AS dep_delay, CAST(NULL AS DOUBLE) AS arr_delay, {double_sql('cancelled')} AS cancelled, {double_sql('diverted')} AS diverted FROM times"""
 )
 def project_rename(spark, sf_dir):
     raw = source.raw_records(spark, sf_dir)
@@ -363,6 +372,17 @@ def csv_parse_project(spark, sf_dir):
     return _lines(spark, sf_dir).select("event_id", F.from_csv("line", schema).alias("e")).select("event_id", "e.*")
 
 
+@query(
+    f"""WITH {PREPARED} SELECT epoch_us(coalesce(scheduled, month_start)) // 1000 AS event_time, year, month, day_of_month, CASE WHEN carrier IS NULL THEN '' ELSE event_type END AS airline,
+    origin_airport_id, dest_airport_id, crs_dep_time, round({double_sql('delay')}, 6) AS dep_delay, {double_sql('cancelled')} AS cancelled, {double_sql('diverted')} AS diverted FROM times WHERE year >= 1"""
+)
+def avro_roundtrip(spark, sf_dir):
+    """Prepared events in their wire form and back; those without a time have none."""
+    events = source.prepared(source.raw_records(spark, sf_dir))
+    back = avro.decoded(avro.encoded(events, 7)).filter("event_time IS NOT NULL")
+    return back.select("event_time", "year", "month", "day_of_month", "airline", "origin_airport_id", "dest_airport_id", "crs_dep_time", "dep_delay", "cancelled", "diverted")
+
+
 # ---------------------------------------------------------------- replay
 
 
@@ -449,6 +469,23 @@ def merge_q2(spark, sf_dir):
     return merge.merged_ranking(rows, rows)
 
 
+@query(Q1_SQL + "SELECT *, row_number() OVER (ORDER BY window_start, airline) AS position FROM q1")
+def merge_part_files(spark, sf_dir):
+    """Two runs' part files in one folder, as CSV without a header, read back, each row once and in order."""
+    at = jobs.shared(spark)
+    for _ in range(2):
+        sinks.texts(rounded(status(spark, sf_dir))).write.mode("append").csv(at)
+    return merge.merged_status(merge.parts(spark, at, Q1))
+
+
+@query(Q1_SQL + "SELECT * FROM q1")
+def merged_csv(spark, sf_dir):
+    """The merged rows as one CSV file with a header, read back by name."""
+    at = f"{jobs.shared(spark)}/{merge.experiment_name('q1.csv', '05')}"
+    merge.write_merged(merge.merged_status(rounded(status(spark, sf_dir))), at)
+    return spark.read.schema(Q1).option("header", True).option("enforceSchema", False).option("timestampNTZFormat", merge.TIME).csv(at)
+
+
 @query(Q1_SQL + "SELECT * FROM q1")
 def upsert_latest(spark, sf_dir):
     """An early, partial run and a complete one: of each key the latter's row remains."""
@@ -468,7 +505,7 @@ def _series(field: str):
         return dashboards.series(status(spark, sf_dir), field, *RANGE)
 
     run.__name__ = "dash_series_" + {"late_departure_rate": "late_rate"}.get(field, field)
-    query(Q1_SQL + f"SELECT window_start AS time, airline AS metric, {field} AS value FROM q1 WHERE window_start >= TIMESTAMP '{RANGE[0]}' AND window_start < TIMESTAMP '{RANGE[1]}'")(run)
+    query(Q1_SQL + f"SELECT window_start AS time, airline AS metric, {field} AS value, row_number() OVER (ORDER BY window_start, airline) AS position FROM q1 WHERE window_start >= TIMESTAMP '{RANGE[0]}' AND window_start < TIMESTAMP '{RANGE[1]}'")(run)
 
 
 for _field in dashboards.SERIES:
@@ -479,7 +516,7 @@ LONG_SQL = Q1_SQL + ", points AS (" + " UNION ALL ".join(
 ) + ") "
 
 
-@query(LONG_SQL + "SELECT * FROM points")
+@query(LONG_SQL + "SELECT *, row_number() OVER (ORDER BY time, airline, field) AS position FROM points")
 def dash_series_long(spark, sf_dir):
     return dashboards.long(status(spark, sf_dir), *RANGE)
 
@@ -497,6 +534,16 @@ def stream_q1(spark, sf_dir):
     return jobs.replayed(source.flights(spark, sf_dir), lambda s: jobs.status(s, EVENT_AIRLINES))
 
 
+@query(Q1_SQL + "SELECT * FROM q1")
+def stream_q1_ds(spark, sf_dir):
+    return jobs.replayed(source.flights(spark, sf_dir), lambda s: jobs.status_by_partials(s, EVENT_AIRLINES), format="csv")
+
+
+@query(ranking_sql(HOUR) + "SELECT * FROM q2")
+def stream_q2_1h(spark, sf_dir):
+    return jobs.replayed(source.flights(spark, sf_dir), lambda s: jobs.ranking(s, HOUR, LEAST[HOUR]), format="csv")
+
+
 @query(ranking_sql(SIX_HOURS) + "SELECT * FROM q2")
 def stream_q2_6h(spark, sf_dir):
     return jobs.replayed(source.flights(spark, sf_dir), lambda s: jobs.ranking(s, SIX_HOURS, LEAST[SIX_HOURS]))

@@ -1,14 +1,18 @@
 """The wire form of an event: a zero byte, the schema's number in four bytes, then the fields in Avro's binary encoding.
 
-Meant for adapters at the edge of the engine; queries work on columns.
+``encoded`` and ``decoded`` work on columns of a batch or a stream, in Arrow batches; Spark's own Avro functions know neither these five bytes nor are they in every installation.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarmac.schema import FLIGHT, RAW_DOUBLE
 
@@ -73,3 +77,34 @@ def decode(data: bytes) -> tuple[int, dict[str, Any]]:
         else:
             event[f.name] = read.long()
     return struct.unpack(">I", data[1:5])[0], event
+
+
+def encoded(events: DataFrame, schema_id: int) -> DataFrame:
+    """``value`` (binary) of every event; other columns than an event's are ignored. An event without a time, an airline or one of the whole numbers has no wire form: its value is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = [f.name for f in FLIGHT if f.name not in _OPTIONAL]
+        for batch in batches:
+            values = [encode(e, schema_id) if all(e[n] is not None for n in needed) else None for e in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+
+    return events.select(*FLIGHT.names).mapInArrow(run, "value binary")
+
+
+def decoded(rows: DataFrame, value: str = "value") -> DataFrame:
+    """The events of wire records in order; all fields are null where a record is null or damaged."""
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in FLIGHT])
+    types = to_arrow_schema(schema)
+
+    def event(data: bytes | None) -> dict[str, Any]:
+        try:
+            return decode(data)[1] if data is not None else {}
+        except (ValueError, IndexError):
+            return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            events = [event(v) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([e.get(f.name) for e in events], types.field(f.name).type) for f in schema], schema=types)
+
+    return rows.select(value).mapInArrow(run, schema)

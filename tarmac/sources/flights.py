@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.functions import prepare
 from tarmac.schema import FLIGHT, RAW, RAW_DOUBLE, RAW_INT, RAW_TEXT
@@ -29,16 +31,33 @@ def csv_files(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
+def header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """The names in a CSV file's first line."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(file)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at), "UTF-8"))
+    try:
+        first = lines.readLine() or ""
+    finally:
+        lines.close()
+    return tuple(next(csv.reader([first.removeprefix("\ufeff")]), ()))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Raw records as text, known columns by name; files of other columns (such as lookups) give no rows."""
-    parts = []
+    """Raw records as text, known columns by name; files of other columns (such as lookups) give no rows. Records with too many fields are skipped, and those with too few have nulls. Files of one header are one read."""
+    alike: dict[tuple[str, ...], list[str]] = {}
     for file in csv_files(spark, path):
-        one = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("encoding", "UTF-8").csv(file)
-        if any(c in RAW for c in one.columns):
-            parts.append(one)
+        alike.setdefault(header(spark, file), []).append(file)
+    parts = []
+    for names, files in alike.items():
+        if known := [n for n in names if n in RAW]:
+            # one field more than the header has, which only records with too many fill
+            schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)])
+            rows = spark.read.schema(schema).options(header=True, mode="PERMISSIVE", encoding="UTF-8").csv(files).filter(F.col(f"c{len(names)}").isNull())
+            parts.append(projected(rows.select(*[F.col(f"c{names.index(n)}").alias(n) for n in dict.fromkeys(known)])))
     if not parts:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in RAW))
-    return projected(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.select(*[c for c in p.columns if c in RAW]) for p in parts]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def projected(raw: DataFrame) -> DataFrame:
@@ -104,10 +123,10 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 29 == 0, None).when(n % 31 == 0, "x").otherwise("2025").alias("YEAR"),
         text(n % 15).alias("MONTH"), text(n % 33).alias("DAY_OF_MONTH"),
         F.when(n % 41 != 0, F.concat(F.lit("  "), "event_type", F.lit("\t "))).alias("OP_UNIQUE_CARRIER"),
-        F.when(n % 43 == 0, "bad").otherwise(text(F.col("user_id"))).alias("ORIGIN_AIRPORT_ID"),
-        F.concat(text(n % 97), F.lit(".7")).alias("DEST_AIRPORT_ID"),
+        F.when(n % 43 == 0, "bad").when(n % 59 == 0, "NaN").when(n % 61 == 0, "1e12").otherwise(text(F.col("user_id"))).alias("ORIGIN_AIRPORT_ID"),
+        F.when(n % 67 == 0, "inf").when(n % 71 == 0, "12f").otherwise(F.concat(text(n % 97), F.lit(".7"))).alias("DEST_AIRPORT_ID"),
         F.when(n % 47 != 0, F.when(n % 50 == 1, "2400").otherwise(text((n * 37) % 2401))).alias("CRS_DEP_TIME"),
-        F.when(n % 13 == 0, "").when(n % 53 == 0, "n/a").otherwise(text(F.col("value"))).alias("DEP_DELAY"),
+        F.when(n % 13 == 0, "").when(n % 53 == 0, "n/a").when(n % 73 == 0, "NaN").when(n % 79 == 0, "1.0d").when(n % 83 == 0, " -1.5e1\t").otherwise(text(F.col("value"))).alias("DEP_DELAY"),
         F.when(n % 17 == 0, "1.00").when(n % 19 != 0, "0.00").alias("CANCELLED"),
         F.when(n % 23 == 0, "1.00").otherwise("0.00").alias("DIVERTED"),
     )

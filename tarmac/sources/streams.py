@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.schema import VIEW
+from tarmac.sources import avro
 
 #: The end of a stream: an event so far ahead that every window closes. No query counts it.
 END, END_AIRLINE = dt.datetime(2200, 1, 1), "__EOS__"
@@ -31,7 +32,16 @@ def from_files(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFr
     return spark.readStream.schema(VIEW).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
-def from_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Events as JSON from the earliest offset; needs Spark's Kafka connector on the class path."""
+def of_events(events: DataFrame) -> DataFrame:
+    """What the queries read of events on the wire. They have no number, so it is null."""
+    return events.select(F.lit(None).cast("long").alias("event_id"), F.timestamp_millis("event_time").alias("rowtime"), *[F.col(f.name) for f in VIEW.fields[2:]])
+
+
+def from_kafka(spark: SparkSession, servers: str, topic: str, wire: str = "avro") -> DataFrame:
+    """Events of a topic from the earliest offset, as ``avro`` (with the schema's number in front) or as ``json`` of a flight's columns; needs Spark's Kafka connector on the class path."""
+    if wire not in ("avro", "json"):
+        raise ValueError(f"no wire form {wire!r}")
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    if wire == "avro":
+        return of_events(avro.decoded(raw))
     return raw.select(F.from_json(F.col("value").cast("string"), VIEW).alias("e")).select("e.*")

@@ -79,3 +79,76 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def test_global_window_fires(spark, flights):
     got = jobs.replayed(flights, lambda s: jobs.ranking(s, SIX_HOURS, 1))
     assert got.count() and got.agg(F.max("airport_rank")).first()[0] <= 10
+
+
+def test_partials_as_a_stream(spark, flights):
+    """The watermark is behind the filter; still the stream's end closes the last window."""
+    got = jobs.replayed(flights, lambda s: jobs.status_by_partials(s, EVENT_AIRLINES), format="csv")
+    assert rows(got) == rows(airline_status.status(flights, EVENT_AIRLINES))
+
+
+def test_upsert_in_a_database(spark, flights, tmp_path):
+    """Derby comes with Spark. The same batch twice, and an early partial batch, leave each key's last row."""
+    url, key = f"jdbc:derby:{tmp_path}/db;create=true", ["window_start", "airline"]
+    whole = airline_status.status(flights, EVENT_AIRLINES).select("window_start", "airline", "num_flights", "dep_delay_mean")
+    early = whole.withColumn("num_flights", F.lit(-1).cast("long")).filter("airline <> 'click'")
+    if "derby" not in " ".join(spark.sparkContext._jvm.java.lang.System.getProperty("java.class.path").split(":")):
+        pytest.skip("no database driver")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    db = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    db.createStatement().execute("CREATE TABLE q1 (window_start TIMESTAMP, airline VARCHAR(20), num_flights BIGINT, dep_delay_mean DOUBLE, PRIMARY KEY (window_start, airline))")
+    db.createStatement().execute("CREATE TABLE q1_staging (window_start TIMESTAMP, airline VARCHAR(20), num_flights BIGINT, dep_delay_mean DOUBLE)")
+    db.close()
+    write = sinks.jdbc(url, "q1", key, driver, form="merge")
+    write(early, 0)
+    write(whole, 1)
+    write(whole, 1)
+    got = spark.read.jdbc(url, "q1", properties=driver)
+    assert rows(got.toDF(*[c.lower() for c in got.columns]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))) == rows(whole)
+
+
+def test_statements_of_an_upsert():
+    import sqlite3
+
+    assert sinks.merge_sql("t", ["k"], ["k"]).endswith("DO NOTHING")
+    with pytest.raises(ValueError):
+        sinks.merge_sql("t", ["k"], ["k"], "other")
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (k INT PRIMARY KEY, v INT)")
+    db.execute("CREATE TABLE t_staging (k INT, v INT)")
+    db.execute("INSERT INTO t VALUES (1, 0)")
+    db.executemany("INSERT INTO t_staging VALUES (?, ?)", [(1, 6), (2, 7)])
+    for _ in range(2):
+        db.execute(sinks.merge_sql("t", ["k", "v"], ["k"]))
+    assert sorted(db.execute("SELECT * FROM t")) == [(1, 6), (2, 7)]
+
+
+def test_keyed_table_folds(spark, tmp_path):
+    write = sinks.keyed(f"{tmp_path}/t", ["k"], fold=3)
+    for i in range(8):
+        write(spark.createDataFrame([(0, i), (i, i)], "k int, v int").distinct(), i)
+    assert sorted(tuple(r) for r in sinks.read_keyed(spark, f"{tmp_path}/t", ["k"]).collect()) == [(0, 7), *((i, i) for i in range(1, 8))]
+    assert len(list((tmp_path / "t").iterdir())) < 6
+
+
+def test_rates_are_logged(spark, flights, tmp_path):
+    said = []
+    listener = sinks.rates(said.append)
+    spark.streams.addListener(listener)
+    try:
+        jobs.replayed(flights, lambda s: jobs.status(s, EVENT_AIRLINES))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any("throughput=" in line and "rows=" in line for line in said)
+
+
+def test_topics_need_only_the_connector(spark, flights, tmp_path):
+    """Without Spark's Kafka connector, the sink and the source fail at it and at nothing before."""
+    streams.write_chunks(flights, f"{tmp_path}/in", "0", 1)
+    with pytest.raises(Exception, match="(?i)kafka"):
+        sinks.to_kafka(jobs.status(streams.from_files(spark, f"{tmp_path}/in")), "none:9092", "q1", f"{tmp_path}/c").stop()
+    with pytest.raises(Exception, match="(?i)kafka"):
+        streams.from_kafka(spark, "none:9092", "flights")
+    with pytest.raises(ValueError):
+        streams.from_kafka(spark, "none:9092", "flights", "xml")

@@ -8,11 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarmac import config
-from tarmac.functions import windows
+from tarmac.functions import prepare, windows
 from tarmac.operators import airline_status, airport_ranking, merge, replay
 from tarmac.operators.ordered import highest_before, numbered
 from tarmac.plans import dashboards, experiments
-from tarmac.schema import FLIGHT, Q1, Q2, RAW
+from tarmac.schema import FLIGHT, Q1, Q2, RAW, RAW_DOUBLE
 from tarmac.sources import avro
 from tarmac.sources import flights as source
 
@@ -174,3 +174,59 @@ def test_wire_form(ms, airline, delay, number):
     assert avro.decode(avro.encode(event, number)) == (number, event)
     with pytest.raises(ValueError):
         avro.decode(b"\1abcd")
+
+
+def test_numbers_as_they_are_written(spark):
+    cases = {
+        "5": (5.0, 5), " -1.5e1\t": (-15.0, -15), "+.5": (0.5, 0), "7.": (7.0, 7), "NaN": (None, 0), "nan": (None, 0), "1.0d": (None, 0), "12f": (None, 0), "3L": (None, 0), "0x10": (None, 0), "1e12": (1e12, 0), "-3e9": (-3e9, 0),
+        "inf": (float("inf"), 0), "-Infinity": (float("-inf"), 0), "1e999": (float("inf"), 0), "": (None, 0), " ": (None, 0), "1 2": (None, 0), ".": (None, 0), "2147483647.9": (2147483647.9, 2147483647), None: (None, 0),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = df.select("s", prepare.as_double(F.col("s")).alias("d"), prepare.as_int(F.col("s")).alias("i"), prepare.filled(prepare.as_double(F.col("s")), "zero").alias("z")).collect()
+    assert {r.s: (r.d, r.i) for r in got} == cases
+    assert all(r.z == (r.d or 0.0) for r in got)
+
+
+def test_scan_skips_records_with_too_many_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('YEAR,MONTH,other\n2025,1,x\n2025,2\n2025,3,"a,b"\n2025,4,x,y\n', encoding="utf-8-sig")
+    (tmp_path / "b.csv").write_text("YEAR,MONTH,other\n2026,1,x\n")
+    got = source.scan(spark, str(tmp_path))
+    assert sorted((r.YEAR, r.MONTH) for r in got.collect()) == [("2025", "1"), ("2025", "2"), ("2025", "3"), ("2026", "1")]
+    assert source.header(spark, str(tmp_path / "a.csv")) == ("YEAR", "MONTH", "other")
+
+
+def test_part_files(spark, tmp_path):
+    line = '"2025-02-10 01:00:00","2025-02-10 02:00:00",UA,1,0,1,0,,100.0,\n'
+    other = line.replace("UA", "AA")
+    (tmp_path / "day").mkdir()
+    (tmp_path / "part-1-0").write_text(line + other)
+    (tmp_path / "part-1-1").write_text(line + "\n")
+    (tmp_path / "part-2-0.inprogress.5").write_text(line.replace("UA", "DL"))
+    (tmp_path / "note").write_text("x")
+    (tmp_path / "day" / "part-0").write_text(line.replace("UA", "WN"))
+    names = lambda below: [f.rpartition("/")[2] for f in merge.part_files(spark, str(tmp_path), below)]
+    assert names(False) == ["part-1-0", "part-1-1"] and sorted(names(True)) == ["part-0", "part-1-0", "part-1-1"]
+    got = merge.merged_status(merge.parts(spark, str(tmp_path), Q1))
+    assert [(r.position, r.airline, r.dep_delay_mean, r.cancellation_rate, r.late_departure_rate) for r in sorted(got.collect(), key=lambda r: r.position)] == [(1, "AA", None, 100.0, None), (2, "UA", None, 100.0, None)]
+    merge.write_merged(got, str(tmp_path / "out" / "q1_05.csv"))
+    assert (tmp_path / "out" / "q1_05.csv").read_text().splitlines() == [",".join(Q1.names), "2025-02-10 01:00:00,2025-02-10 02:00:00,AA,1,0,1,0,,100.0,", "2025-02-10 01:00:00,2025-02-10 02:00:00,UA,1,0,1,0,,100.0,"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["q1_05.csv"]
+    (tmp_path / "empty").mkdir()
+    assert merge.parts(spark, str(tmp_path / "empty"), Q1).count() == 0
+    with pytest.raises(FileNotFoundError):
+        merge.part_files(spark, str(tmp_path / "none"))
+
+
+def test_damaged_wire_records(spark):
+    event = dict.fromkeys(FLIGHT.names, 0) | {"airline": "AA"} | {n: None for n in RAW_DOUBLE.values()}
+    good = avro.encode(event, 3)
+    got = avro.decoded(spark.createDataFrame([(good,), (good[:-20],), (b"\1xxxx",), (b"",), (None,)], "value binary")).collect()
+    assert got[0].asDict() == event and all(set(r.asDict().values()) == {None} for r in got[1:])
+    missing = avro.encoded(spark.createDataFrame([tuple((event | {"event_time": None}).values()), tuple(event.values())], T_schema()), 3).collect()
+    assert [r.value for r in missing] == [None, good]
+
+
+def T_schema():
+    from pyspark.sql import types
+
+    return types.StructType([types.StructField(f.name, f.dataType) for f in FLIGHT])
