@@ -1,22 +1,24 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding looks pre-tokens up in two tiers. A minimal perfect hash over the vocabulary (hash and displace: one displacement for each small group of keys, no empty slot) resolves every pre-token that is a token as a whole. The others are merged by rank: the bytes form a linked list, a heap holds the ranks of adjacent pairs, and stale pairs are skipped, so a pre-token of n bytes takes n log n steps, whatever its length.
+Encoding looks pre-tokens up in two tiers. A minimal perfect hash over the vocabulary (hash and displace: one displacement for each small group of keys, no empty slot) resolves every pre-token that is a token as a whole. The others are merged by rank: the bytes form a linked list of ids, a heap holds the ranks of adjacent pairs, and stale pairs are skipped, so a pre-token of n bytes takes n log n steps, whatever its length. Which pairs merge to which token is a table over the vocabulary, made once in a worker.
 
-The vocabulary is a file of (base64 token, rank) lines whose path is a parameter. The driver reads it and broadcasts the tables; they are as large as the vocabulary and do not grow with the data. Texts are encoded in slices of a few MB, so memory does not follow the batch or the longest text.
+The vocabulary is a file of (base64 token, rank) lines whose path is a parameter. The driver reads it and broadcasts the tables; they are as large as the vocabulary and do not grow with the data. Texts are encoded in slices of a few hundred KB, so memory does not follow the batch or the longest text. ``coded`` encodes and decodes in one pass of one worker.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; null ids in a list and lists that are null decode to nothing; rows that repeat are encoded each; an empty table gives an empty result; columns named in ``keep`` are carried through and no others.
+Defined cases: a null or empty text has no ids and decodes to no bytes; null ids in a list, ids that the vocabulary does not have and lists that are null decode to nothing; rows that repeat are encoded each; an empty table gives an empty result; columns named in ``keep`` are carried through and no others.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from xxhash import xxh64_intdigest
 from tarmac.llm.common import documents, small_batches
 
 #: Code points of text, and pre-tokens of one very long text, that are encoded at once.
-SLICE_CHARS, SLICE_PIECES = 2_000_000, 400_000
+SLICE_CHARS, SLICE_PIECES = 1_000_000, 200_000
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -96,6 +98,7 @@ class Tables:
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.tokens, self.pattern = tokens, pattern
+        self.name = blake2b(b"\0".join([base64.b64encode(t) for t in tokens]) + pattern.encode(), digest_size=16).hexdigest()
         ranks = [i for i, t in enumerate(tokens) if t]
         self.hash = PerfectHash([tokens[i] for i in ranks])
         self.slot_rank = np.zeros(self.hash.n, np.int32)
@@ -107,43 +110,64 @@ class Tables:
 
 
 class Encoder:
-    #: Results of the second tier that a worker keeps; beyond that it starts anew.
-    MOST_KEPT = 100_000
+    #: Results of the second tier that a worker keeps, in two generations: what is not asked for in one is dropped in the next.
+    MOST_KEPT = 200_000
 
     def __init__(self, tables: Tables):
         self.t, self.pattern = tables, regex.compile(tables.pattern)
-        self.rank = {t: i for i, t in enumerate(tables.tokens) if t}
+        rank = {t: i for i, t in enumerate(tables.tokens) if t}
+        self.byte = [rank.get(bytes([b])) for b in range(256)]
+        #: left id << 32 | right id -> the id of both together.
+        self.pairs = {a << 32 | b: i for t, i in rank.items() for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None}
+        self.whole = None not in self.byte
         self.kept: dict[bytes, list[int]] = {}
+        self.older: dict[bytes, list[int]] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The ids of a pre-token that is no token itself."""
         if (found := self.kept.get(piece)) is not None:
             return found
-        rank, n = self.rank.get, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        found = self.older.get(piece)
+        if found is None:
+            found = self._merged(piece)
+        if len(piece) <= 64:
+            if len(self.kept) >= self.MOST_KEPT // 2:
+                self.older, self.kept = self.kept, {}
+            self.kept[piece] = found
+        return found
+
+    def _merged(self, piece: bytes) -> list[int]:
+        pair, n = self.pairs.get, len(piece)
+        ids = list(map(self.byte.__getitem__, piece))
+        if not self.whole and None in ids:
+            raise KeyError(f"the vocabulary lacks a byte of {piece!r}")
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        # of each place: the rank of its pair, -1 if it has none; a heap entry with another rank is stale
+        ranks = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        ranks.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
         heapify(heap)
         while heap:
-            _, i, size = heappop(heap)
-            left = part[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(part[j]) != size:
-                continue  # stale: one of the two has been merged since
-            part[i] = left = left + part[j]
-            part[j] = None
+            entry = heappop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if ranks[i] != r:
+                continue
+            ids[i] = r
+            j = after[i]
+            ids[j] = ranks[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(left + part[k])) is not None:
-                    heappush(heap, (r, i, len(left) + len(part[k])))
-            if (h := before[i]) >= 0 and (r := rank(part[h] + left)) is not None:
-                heappush(heap, (r, h, len(part[h]) + len(left)))
-        found = [self.rank[p] for p in part if p is not None]
-        if len(piece) <= 64:
-            if len(self.kept) >= self.MOST_KEPT:
-                self.kept.clear()
-            self.kept[piece] = found
-        return found
+                ranks[i] = found = pair(r << 32 | ids[k], -1)
+                if found >= 0:
+                    heappush(heap, found << 32 | i)
+            else:
+                ranks[i] = -1
+            if (h := before[i]) >= 0:
+                ranks[h] = found = pair(ids[h] << 32 | r, -1)
+                if found >= 0:
+                    heappush(heap, found << 32 | h)
+        return [i for i in ids if i >= 0]
 
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has."""
@@ -192,24 +216,60 @@ class Encoder:
         return len(texts), ids, np.diff(total[np.array(ends)])
 
 
-def encoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "ids") -> DataFrame:
-    """The columns in ``keep`` and ``out``: array of int, the ids of ``text``."""
+class Decoder:
+    def __init__(self, tokens: list[bytes]):
+        self.n, self.tokens = len(tokens), pa.array([*tokens, b""], pa.binary())
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids: all tokens side by side, cut where the lists end."""
+        ends = lists.offsets.to_numpy()
+        values = lists.values.slice(ends[0], ends[-1] - ends[0])
+        known = pc.fill_null(pc.and_(pc.greater_equal(values, 0), pc.less(values, self.n)), False)
+        tokens = self.tokens.take(pc.if_else(known, values, self.n))
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(tokens).to_numpy(), dtype=np.int64)])
+        offsets = pa.array(size[ends - ends[0]], pa.int64())
+        joined = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, offsets.buffers()[1], tokens.buffers()[2]])
+        return joined.cast(pa.binary())
+
+
+#: The last encoder and decoder of this worker: their tables and what the second tier keeps serve its next tasks too.
+_KEPT: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def _coders(tables: Tables) -> tuple[Encoder, Decoder]:
+    if tables.name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[tables.name] = Encoder(tables), Decoder(tables.tokens)
+    return _KEPT[tables.name]
+
+
+def _coding(docs: DataFrame, tables: Tables, keep: tuple[str, ...], text: str, names: tuple[str, ...]) -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
-    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(names[0], T.ArrayType(T.IntegerType())), *[T.StructField(n, T.BinaryType()) for n in names[1:]]]
+    schema = T.StructType([*[docs.schema[k] for k in keep], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, decoder = _coders(shared.value)
         for batch in batches:
             at = 0
             for rows, ids, n in encoder.encode(t.as_py() for t in batch.column(len(keep))):
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
                 own = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(len(keep))], lists], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*[own.column(i) for i in range(len(keep))], lists, *[decoder.decode(lists) for _ in names[1:]]], [*keep, *names])
                 at += rows
 
-    return docs.select(*keep, F.col(text).alias(f"{out}_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias(f"{names[0]}_text")).mapInArrow(run, schema)
+
+
+def encoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), text: str = "text", out: str = "ids") -> DataFrame:
+    """The columns in ``keep`` and ``out``: array of int, the ids of ``text``."""
+    return _coding(docs, tables, keep, text, (out,))
+
+
+def coded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+    """The columns in ``keep``, ``ids`` and ``back``: binary, the bytes that the ids decode to."""
+    return _coding(docs, tables, keep, text, (ids, back))
 
 
 def decoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -219,12 +279,9 @@ def decoded(docs: DataFrame, tables: Tables, keep: tuple[str, ...] = ("doc_id",)
     schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.tokens.__getitem__
+        _, decoder = _coders(shared.value)
         for batch in batches:
-            lists = batch.column(len(keep))
-            values, ends = lists.values, lists.offsets.to_numpy()
-            texts = [b"".join(map(token, values.slice(a, b - a).drop_null().to_numpy().tolist())) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(texts, pa.binary())], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], decoder.decode(batch.column(len(keep)))], [*keep, out])
 
     return docs.select(*keep, F.col(ids).alias(f"{out}_ids")).mapInArrow(run, schema)
 
@@ -234,6 +291,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     import public_tokenizers
 
     tables = Tables.read(vocabulary_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = encoded(documents(spark, sf_dir), tables)
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    return decoded(ids, tables, ("doc_id", "n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded(documents(spark, sf_dir), tables).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )

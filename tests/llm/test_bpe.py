@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarmac.llm.bpe import Encoder, PerfectHash, Tables, decoded, encoded, op3_bpe
+from tarmac.llm.bpe import Encoder, PerfectHash, Tables, coded, decoded, encoded, op3_bpe
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -65,3 +65,26 @@ def test_query(spark, sf, theirs):
         r = got[d.doc_id]
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_lists_that_are_null_and_ids_that_are_not_in_the_vocabulary(spark, tables):
+    rows = [(1, None), (2, []), (3, [None, 5, None]), (4, [-1, 5, len(tables.tokens), 2**31 - 1, 6]), (5, [5, 6])]
+    got = {r.doc_id: bytes(r.decoded) for r in decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2), tables).collect()}
+    five, six = tables.tokens[5], tables.tokens[6]
+    assert got == {1: b"", 2: b"", 3: five, 4: five + six, 5: five + six}
+
+
+def test_both_ways_at_once(spark, tables):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    one = encoded(docs, tables)
+    want = {r.doc_id: (r.ids, bytes(r.decoded)) for r in decoded(one, tables, ("doc_id", "ids")).collect()}
+    assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in coded(docs, tables).collect()} == want
+
+
+def test_results_are_kept_in_two_generations(tables):
+    own = Encoder(tables)
+    own.MOST_KEPT = 8
+    words = [f"zq{i % 13}xv{i % 5}".encode() for i in range(200)]
+    fresh = Encoder(tables)
+    assert [own.merged(w) for w in words] == [fresh.merged(w) for w in words]
+    assert len(own.kept) <= 4 and len(own.older) <= 4
