@@ -37,11 +37,12 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Batches of at most ``rows`` texts go to Python from now on in this session: what a worker and the buffers beside it hold follows the batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Batches of at most ``rows`` texts and about ``size`` bytes go to Python from now on in this session, unless it asks for less: what a worker and the buffers beside it hold follows the batch."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def fresh(df: DataFrame, name: str) -> str:
