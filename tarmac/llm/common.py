@@ -7,8 +7,9 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,10 +23,10 @@ def scratch(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: its lineage ends here and a lost executor costs a reread only."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its lineage ends here and a lost executor costs a reread only. ``narrow``: rows are few and small, so eight partitions share a file."""
     path = f"{scratch(df.sparkSession)}/tarmac/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(8, partitions(df.sparkSession) // 8)) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,25 +72,82 @@ def dealt(by: list[Column], blocks: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(blocks).cast("long"))
 
 
-def range_block(df: DataFrame, key: str, text: str, size: int, most_blocks: int = 1 << 40) -> tuple[Column, int]:
-    """An expression for the block of ``key``, and the bytes of all texts.
+#: Quantiles that ranges are cut at, a square number: they are looked up in two steps.
+QUANTILES = 10_000
 
-    Blocks follow the order of the key and hold about ``size`` bytes of text: the key is cut at up to 500 approximate quantiles, and each stretch between two of them into equal widths. One aggregate over key and text lengths; equal keys share a block, nulls have block 0. Blocks grow rather than that there be more than about ``most_blocks``.
+
+def _leading(text: Column, skip: int) -> Column:
+    """The 7 bytes of a string behind the first ``skip``, as a number that follows the strings' order."""
+    part = F.substring(F.encode(text, "UTF-8"), F.lit(skip + 1), F.lit(7))
+    return F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long")
+
+
+def range_block(df: DataFrame, key: str, text: str, size: int) -> tuple[Column, int]:
+    """An expression for the block of ``key``, and about how many blocks there are.
+
+    Blocks follow the order of the key, then nulls first and by the beginning of their texts, and hold about ``size`` bytes of text: the keys are cut at up to ``QUANTILES`` approximate quantiles, and each stretch between two of them into equal widths. A string counts by the bytes behind what all strings begin with. One or two aggregates over keys and lengths; equal keys share a block, but for nulls.
     """
-    most = 500
-    got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes"), F.percentile_approx(key, [i / most for i in range(most + 1)], 5000).alias("q")).first()
-    total = got["bytes"] or 0
-    blocks = max(1, min(most_blocks, -(-total // size)))
-    quantiles = got["q"] or [0]
-    cuts = sorted({quantiles[round(i * most / min(most, blocks))] if len(quantiles) > most else quantiles[0] for i in range(min(most, blocks) + 1)})
+    kind = df.schema[key].dataType
+    k, skip = F.col(key), 0
+    if isinstance(kind, T.StringType):
+        ends = df.agg(F.min(k).alias("a"), F.max(k).alias("b")).first()
+        a, b = ((ends[c] or "").encode() for c in ("a", "b"))
+        skip = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        number = _leading(k, skip)
+    elif isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        number = F.unix_micros(k.cast("timestamp"))
+    else:
+        number = F.floor(k).cast("long")
+    nameless = F.when(k.isNull(), _leading(F.coalesce(F.col(text), F.lit("")), 0))
+    shares = F.lit([i / QUANTILES for i in range(QUANTILES + 1)])
+    got = df.agg(
+        F.sum(F.octet_length(text)).alias("bytes"), F.sum(F.when(k.isNull(), F.octet_length(text))).alias("nameless"),
+        F.percentile_approx(number, shares, 50_000).alias("q"), F.percentile_approx(nameless, shares, 50_000).alias("p"),
+    ).first()
+    some = got["nameless"] or 0
+    named, n = _cut(number, got["q"], -(-((got["bytes"] or 0) - some) // size))
+    unnamed, m = _cut(nameless, got["p"], -(-some // size))
+    return F.when(k.isNull(), unnamed - m).otherwise(named).cast("long"), n + m
+
+
+def _cut(number: Column, quantiles: list[int] | None, blocks: int) -> tuple[Column, int]:
+    """The stretch of ``number``, from 0, and how many there are."""
+    if not quantiles or blocks < 2:
+        return F.lit(0).cast("long"), 1
+    used = min(QUANTILES, blocks)
+    cuts = sorted({quantiles[i * QUANTILES // used] for i in range(used + 1)})
     low, high = cuts[:-1] or cuts, cuts[1:] or [cuts[0] + 1]
     parts = max(1, -(-blocks // len(low)))
-    k, longs = F.col(key), lambda x: F.array(*[F.lit(int(c)).cast("long") for c in x])
-    segment = F.greatest(F.lit(1), F.size(F.filter(longs(low), lambda b: b <= k)))
+    # which hundred of the cuts, then which of the hundred
+    width = max(1, round(len(low) ** 0.5))
+    rows = [low[i : i + width] for i in range(0, len(low), width)]
+    longs = lambda x: F.lit(x).cast("array<bigint>")
+    at_most = lambda c: F.greatest(F.lit(1), F.size(F.filter(c, lambda b: b <= number)))
+    row = at_most(longs([r[0] for r in rows]))
+    segment = (row - 1) * width + at_most(F.element_at(F.lit(rows).cast("array<array<bigint>>"), row))
     start, end = F.element_at(longs(low), segment), F.element_at(longs(high), segment)
-    within = F.floor((k - start).cast("double") * parts / F.greatest(F.lit(1), end - start).cast("double"))
-    block = (segment - 1) * parts + F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1))
-    return F.coalesce(block, F.lit(0)).cast("long"), total
+    within = F.floor((number.cast("double") - start) * parts / F.greatest(F.lit(1.0), end.cast("double") - start))
+    return ((segment - 1) * parts + F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1))).cast("long"), len(low) * parts
+
+
+def one_before(values: DataFrame, name: str, group: int = 4096) -> DataFrame:
+    """of, before: each of the different ``name`` (long) and the next smaller one, the greatest for the least. In two levels, so that no task sees all."""
+    coarse = values.select(F.col(name).alias("of"), F.floor(F.col(name) / group).alias("group"))
+    every = Window.partitionBy(F.lit(0))
+    last = coarse.groupBy("group").agg(F.max("of").alias("last")).select("group", F.coalesce(F.lag("last").over(every.orderBy("group")), F.max("last").over(every)).alias("last"))
+    within = coarse.withColumn("near", F.lag("of").over(Window.partitionBy("group").orderBy("of")))
+    return within.join(last, "group").select("of", F.coalesce("near", "last").alias("before"))
+
+
+def sum_before(counts: DataFrame, by: list[str], order: str, value: str, name: str, group: int = 4096) -> DataFrame:
+    """``counts`` with ``name``: the sum of ``value`` over the rows of smaller ``order`` (long, once each) among those with equal ``by``. In two levels, so that no task sees all of a large group."""
+    coarse = counts.withColumn("coarse", F.floor(F.col(order) / group))
+    whole = coarse.groupBy(*by, "coarse").agg(F.sum(value).alias("whole"))
+    earlier = lambda *c: Window.partitionBy(*by, *c)
+    up_to = Window.unboundedPreceding, -1
+    whole = whole.withColumn("earlier", F.coalesce(F.sum("whole").over(earlier().orderBy("coarse").rowsBetween(*up_to)), F.lit(0))).drop("whole")
+    inside = coarse.withColumn("inside", F.coalesce(F.sum(value).over(earlier("coarse").orderBy(order).rowsBetween(*up_to)), F.lit(0)))
+    return inside.join(whole, [*by, "coarse"]).withColumn(name, F.col("inside") + F.col("earlier")).drop("coarse", "inside", "earlier")
 
 
 def in_order(table: pa.Table, key: str, text: str) -> pa.Table:

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, range_block
+from tarmac.llm.common import documents, one_before, range_block
 
-#: Bytes of text in a block are raised so that blocks do not become more than about this.
-MOST_BLOCKS = 100_000
+#: Blocks whose first keys are broadcast at most; more are joined by a shuffle.
+MOST_HEADS = 100_000
 #: What stands for a text without words.
 _NONE = (1 << 62) + 77
 
@@ -73,14 +73,13 @@ def word_hashes(text: Column) -> Column:
 
 def neighbours(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
     """block, place (row number in the block), copy, key, body, after: the next document's text, the first's after the last. Rows with ``copy`` stand behind each block for the first document of the next one."""
-    block, _ = range_block(docs, key, text, block_bytes, MOST_BLOCKS)
+    block, blocks = range_block(docs, key, text, block_bytes)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), block.alias("block"))
     heads = rows.groupBy("block").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("head"))
-    every = Window.partitionBy(F.lit(0)).orderBy("block")
-    before = F.coalesce(F.lag("block").over(every), F.max("block").over(Window.partitionBy(F.lit(0))))
-    heads = heads.select(before.alias("before"), F.col("block").alias("of"), F.col("head.key").alias("head"))
-    # a row for each block, so not more than MOST_BLOCKS, whatever the input
-    copies = rows.join(F.broadcast(heads), (F.col("block") == F.col("of")) & F.col("key").eqNullSafe(F.col("head")))
+    # the first block's head stands behind the last
+    heads = heads.join(one_before(heads.select("block"), "block"), F.col("block") == F.col("of")).select("of", "before", F.col("head.key").alias("head"))
+    # a row for each block
+    copies = rows.join(F.broadcast(heads) if blocks <= MOST_HEADS else heads, (F.col("block") == F.col("of")) & F.col("key").eqNullSafe(F.col("head")))
     copies = copies.groupBy("before").agg(F.min(F.struct("key", "body")).alias("first")).select(F.col("first.key").alias("key"), F.col("first.body").alias("body"), F.col("before").alias("block"))
     both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     order = Window.partitionBy("block").orderBy("copy", "key", "body")
@@ -94,7 +93,7 @@ def edited(body: Column, after: Column) -> Column:
     return F.concat(F.substring(body, F.lit(1), n - quarter), F.substring(after, F.lit(1), quarter))
 
 
-def fingerprinted(docs: DataFrame, samples: int = 32, key: str = "doc_id", text: str = "text", block_bytes: int = 2_000_000) -> DataFrame:
+def fingerprinted(docs: DataFrame, samples: int = 32, key: str = "doc_id", text: str = "text", block_bytes: int = 250_000) -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     near = neighbours(docs, key, text, block_bytes).withColumn("edited", edited(F.col("body"), F.coalesce("after", F.lit(""))))
     about = near.filter("NOT copy").select("block", "place", "key", F.length("body").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from tarmac.llm.common import documents, fresh, small_batches, written
-from tarmac.llm.graph import components
+from tarmac.llm.graph import components, least_of_class
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once.
@@ -128,7 +128,7 @@ def _edges(radius: int, most: int | None):
         return f[hung], f[classes.root[hung]]
 
     def groups(variant: np.ndarray, part: np.ndarray, f: np.ndarray) -> Iterator[tuple]:
-        """Of whole groups."""
+        """Of whole groups, none of which has too many."""
         same = (variant[1:] == variant[:-1]) & (part[1:] == part[:-1])
         inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         variant, part, f = variant[inside], part[inside], f[inside].view(np.uint64)
@@ -148,31 +148,50 @@ def _edges(radius: int, most: int | None):
             if hit.any():
                 yield a[hit].view(np.int64), b[hit].view(np.int64), np.zeros(int(hit.sum()), bool)
         for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-            if most is not None and n > most:
-                yield variant[s : s + n], f[s : s + n].view(np.int64), np.ones(n, bool)
-            else:
-                a, b = large(int(bit[s]), f[s : s + n])
-                yield a.view(np.int64), b.view(np.int64), np.zeros(len(a), bool)
+            a, b = large(int(bit[s]), f[s : s + n])
+            yield a.view(np.int64), b.view(np.int64), np.zeros(len(a), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # the columns of the group that may go on in the next batch
+        size, hot = 0, False
+
+        def out(found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", "hot"])
+
+        def hold(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Members of the group that goes on; once it has too many, they are passed on as they come."""
+            nonlocal size, hot
+            held.append([c.copy() for c in columns])
+            size += len(columns[0])
+            if most is not None and size > most:
+                hot = True
+                yield from (out((variant, f, np.ones(len(f), bool))) for variant, _, f in held)
+                held.clear()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal size, hot
+            if held:
+                yield from map(out, groups(*[np.concatenate([h[i] for h in held]) for i in range(3)]))
+            held.clear()
+            size, hot = 0, False
+
+        at = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy() for c in batch.columns]
-            last = np.nonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))[0]
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if held and (cut or columns[0][0] != held[-1][0][0] or columns[1][0] != held[-1][1][0]):
-                done = [np.concatenate([h[i] for h in held] + [columns[i][:cut]]) for i in range(3)]
-                held = []
-            else:
-                done = [c[:cut] for c in columns]
-            for out in groups(*done) if len(done[0]) else ():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "hot"])
-            held.append([c[cut:].copy() for c in columns])
-        if held:
-            for out in groups(*[np.concatenate([h[i] for h in held]) for i in range(3)]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "hot"])
+            variant, part, _ = columns
+            starts = np.flatnonzero(np.concatenate([[at != (variant[0], part[0])], (variant[1:] != variant[:-1]) | (part[1:] != part[:-1])]))
+            at = variant[-1], part[-1]
+            first = starts[0] if len(starts) else batch.num_rows
+            if first:
+                yield from hold([c[:first] for c in columns])
+            if len(starts):
+                yield from close()
+                if starts[-1] > first:
+                    yield from map(out, groups(*[c[first : starts[-1]] for c in columns]))
+                yield from hold([c[starts[-1] :] for c in columns])
+        yield from close()
 
     return run
 
@@ -202,10 +221,7 @@ def classes(docs: DataFrame, width: int, radius: int = 3, key: str = "doc_id", t
     """key, fingerprint (long), component_id: the least key of the component."""
     own = written(fingerprinted(docs, width, key, text), "simhash")
     first = own.groupBy("fingerprint").agg(F.min(key).alias("first"))
-    hung = components(links(first.select("fingerprint"), radius))
-    first = first.join(hung, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("of"), "first", F.coalesce("root", "fingerprint").alias("root"))
-    least = first.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("component_id"))
-    known = first.join(least, F.col("root") == F.col("of_root")).select("of", "component_id")
+    known = least_of_class(first, "fingerprint", components(links(first.select("fingerprint"), radius)))
     return own.join(known, F.col("fingerprint") == F.col("of")).select(key, "fingerprint", "component_id")
 
 

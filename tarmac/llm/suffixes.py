@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.llm.common import documents, in_order, range_block
+from tarmac.llm.common import documents, in_order, range_block, total_bytes
 
 _RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 258), np.uint64)
 #: Of both lanes: a number for each byte, and the bases of words and of windows.
@@ -327,7 +327,7 @@ def settled(strings: list[bytes], order: np.ndarray, length: int, shard: int = S
 
 def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD) -> DataFrame:
     """key, n_bytes, n_removed, intervals (array of start, end in bytes), kept (binary)."""
-    block, total = range_block(docs, key, text, block_bytes)
+    block, total = range_block(docs, key, text, block_bytes)[0], total_bytes(docs, text)
     buckets, shelves = max(1, -(-total // block_bytes)), max(1, -(-total // SHELF))
     placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), block.alias("block"))
 

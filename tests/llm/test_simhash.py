@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -85,3 +86,25 @@ def test_query(spark, sf):
     got = op2_simhash(spark, sf).collect()
     assert {r.doc_id: r.fingerprint for r in got} == {k: f"{f:016x}" for k, f in docs.items()}
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_a_long_chain(spark):
+    """Far more rounds apart than a star; the numbers in a shuffled order."""
+    order = list(range(5000))
+    random.Random(4).shuffle(order)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert len(got) == 4999 and {r.root for r in got} == {0}
+
+
+def test_a_hot_variant_is_passed_on_in_pieces(spark):
+    """A group that spans many batches is given up as soon as it has too many, and its members come each once."""
+    import pyarrow as pa
+
+    from tarmac.llm.simhash import _edges
+
+    f = np.arange(1000, dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(n, v)), pa.array(np.zeros(n, np.int64)), pa.array(f[:n])], ["variant", "part", "fingerprint"]) for v, n in ((1, 3), (7, 100), (7, 100), (7, 100), (9, 2))]
+    out = list(_edges(3, 150)(iter(batches)))
+    hot = [(a, b) for o in out for a, b, h in zip(*(c.to_pylist() for c in o.columns)) if h]
+    assert sorted(hot) == sorted((7, x) for _ in range(3) for x in range(100))
+    assert max(o.num_rows for o in out) <= 200
