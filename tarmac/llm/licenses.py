@@ -214,6 +214,7 @@ def scanned(files: DataFrame, threshold: float = 0.6, templates: tuple[tuple[str
         folders.join(held, F.col("up.ancestor") == F.col("held_in"))
         .groupBy(F.col("own_folder").alias("near_folder"))
         .agg(F.max(F.struct("up.depth", "held_in", "held_license", "held_similarity")).alias("near"))
+        .repartition("near_folder")  # an exchange of its own: only so can the join split a folder of very many files
     )
     joined = rows.join(own, F.col("own_path") == F.col("of_path"), "left").join(nearest, F.col("own_folder") == F.col("near_folder"), "left")
     got, inherits = F.col("license").isNotNull(), F.col("near").isNotNull()

@@ -36,7 +36,6 @@ def features(text: str | None, bits: int) -> np.ndarray:
     named.discard("")
     dense: dict[str, int] = {}
     for run in _MARKS.findall(text):
-        run = run[:4]
         dense[run] = dense.get(run, 0) + 1
     named |= {f"\0{run}{(n * 64 // len(words)).bit_length()}" for run, n in dense.items()}
     upper = sum(map(str.isupper, words)) if words else 0
@@ -45,6 +44,29 @@ def features(text: str | None, bits: int) -> np.ndarray:
     return np.unique(np.fromiter((crc32(w.encode("utf-8", "replace")) for w in named), np.int64, len(named)) & ((1 << bits) - 1))
 
 
+def loss_and_slope(p: np.ndarray, used: int, row: np.ndarray, column: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The weighted negative log-likelihood of the grades, and its gradient. ``p``: the weights of the ``used`` features, the first threshold, and the logarithms of the gaps to the next ones, so that thresholds stay in order. Row ``row[i]`` has feature ``column[i]``."""
+    n = len(grade)
+    w, gaps = p[:used], np.exp(p[used + 1 :])
+    theta = p[used] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(row, w[column], n)
+    at = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
+    # the likelihood of grade g is at[g] - at[g + 1], with at[0] = 1 and at[grades] = 0
+    full = np.hstack([np.ones((n, 1)), at, np.zeros((n, 1))])
+    slope = full * (1 - full)
+    i = np.arange(n)
+    likely = np.maximum(full[i, grade] - full[i, grade + 1], 1e-12)
+    d_at = np.zeros((n, grades - 1))
+    low, high = grade >= 1, grade < grades - 1
+    d_at[i[low], grade[low] - 1] -= slope[i, grade][low] / likely[low]
+    d_at[i[high], grade[high]] += slope[i, grade + 1][high] / likely[high]
+    d_at *= weight[:, None]
+    d_theta = -d_at.sum(0)
+    d_gaps = np.cumsum(d_theta[::-1])[::-1][1:] * gaps
+    loss = -(weight * np.log(likely)).sum() + ridge * (w * w).sum() / 2 / used**0.5
+    return float(loss), np.concatenate([np.bincount(column, d_at.sum(1)[row], used) + ridge * w / used**0.5, [d_theta.sum()], d_gaps])
+
+
 @dataclass
 class OrdinalModel:
     grades: int = 3
@@ -77,25 +99,8 @@ class OrdinalModel:
         # each grade counts alike in part, so that rare grades are heard
         weight = np.array([(len(grade) / grades / max(1, (grade == k).sum())) ** 0.5 for k in range(grades)])[grade]
         weight /= weight.sum()
-        y = np.arange(1, grades)[None, :] <= grade[:, None]
         for t in range(1, rounds + 1):
-            w, theta = p[: len(used)], p[len(used)] + np.concatenate([[0], np.cumsum(np.exp(p[len(used) + 1 :]))])
-            score = np.bincount(row, w[column], len(rows))
-            at = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
-            # the likelihood of grade g is at[g] - at[g + 1], with at[0] = 1 and at[grades] = 0
-            full = np.hstack([np.ones((len(rows), 1)), at, np.zeros((len(rows), 1))])
-            slope = full * (1 - full)
-            i = np.arange(len(rows))
-            likely = np.maximum(full[i, grade] - full[i, grade + 1], 1e-12)
-            d_at = np.zeros((len(rows), grades - 1))
-            low, high = grade >= 1, grade < grades - 1
-            d_at[i[low], grade[low] - 1] -= slope[i, grade][low] / likely[low]
-            d_at[i[high], grade[high]] += slope[i, grade + 1][high] / likely[high]
-            d_at *= weight[:, None]
-            d_score = d_at.sum(1)
-            d_theta = -d_at.sum(0)
-            d_gaps = np.cumsum(d_theta[::-1])[::-1][1:] * np.exp(p[len(used) + 1 :])
-            grad = np.concatenate([np.bincount(column, d_score[row], len(used)) + ridge * w / len(used) ** 0.5, [d_theta.sum()], d_gaps])
+            _, grad = loss_and_slope(p, len(used), row, column, grade, grades, weight, ridge)
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         model.weights[used] = p[: len(used)]

@@ -126,26 +126,31 @@ def _index(docs: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFra
     """Postings (trigram, key): which texts contain which of ``trigrams``. The text is folded once; a literal condition for each trigram would make a method too large to be compiled."""
     names = F.array(*[F.lit(t) for t in trigrams])
     present = F.transform(F.array(F.lower(F.col(text))), lambda folded: F.filter(names, lambda t: F.contains(folded, t)))
-    return docs.select(F.col(key).alias("posted"), F.explode(F.element_at(present, 1)).alias("trigram"))
+    return docs.select(F.col(key).alias("posted"), _mark(key, text).alias("mark"), F.explode(F.element_at(present, 1)).alias("trigram"))
+
+
+def _mark(key: str, text: str) -> Column:
+    """Of a document without an id, its text's hash: else all of them would meet under one key."""
+    return F.when(F.col(key).isNull(), F.xxhash64(text))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """posted, rules: the rules (by number) whose trigram query a document satisfies. Documents without any are absent."""
+    """posted, mark, rules: the rules (by number) whose trigram query a document satisfies. Documents without any are absent."""
     spark = docs.sparkSession
     asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex)) is not None}
     trigrams = sorted({t for q in asked.values() for c in q for t in c})
     if not trigrams:
-        return docs.select(F.col(key).alias("posted"), F.array().cast("array<int>").alias("rules")).limit(0)
+        return docs.select(F.col(key).alias("posted"), _mark(key, text).alias("mark"), F.array().cast("array<int>").alias("rules")).limit(0)
     # One row for each rule, conjunction and trigram: as many as the rules have, whatever the data
     terms = [(i, j, t, 1 << k, (1 << len(c)) - 1) for i, q in asked.items() for j, c in enumerate(q) for k, t in enumerate(sorted(c))]
     terms = spark.createDataFrame(terms, "rule int, conjunction int, term string, bit long, all long")
     return (
         _index(docs, key, text, trigrams)
         .join(F.broadcast(terms), F.col("trigram") == F.col("term"))
-        .groupBy("posted", "rule", "conjunction")
+        .groupBy("posted", "mark", "rule", "conjunction")
         .agg(F.bit_or("bit").alias("met"), F.first("all").alias("all"))
         .filter("met = all")
-        .groupBy("posted")
+        .groupBy("posted", "mark")
         .agg(F.collect_set("rule").alias("rules"))
     )
 
@@ -195,8 +200,8 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans``: array of (start, rule, end) in order of start, then rule; rule is the number in ``rules``."""
-    posted, asked = fresh(docs, "posted"), fresh(docs, "rules")
-    found = candidates(docs, rules, key, text).toDF(posted, asked)
+    posted, mark, asked = fresh(docs, "posted"), fresh(docs, "mark"), fresh(docs, "rules")
+    found = candidates(docs, rules, key, text).toDF(posted, mark, asked)
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     each = []
@@ -207,7 +212,8 @@ def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id
         if trigram_query(rule.regex) is not None:
             spans = F.when(F.array_contains(F.coalesce(asked, F.array().cast("array<int>")), i), spans).otherwise(none)
         each.append(spans)
-    return docs.join(found, F.col(key).eqNullSafe(F.col(posted)), "left").withColumn("secret_spans", F.array_sort(F.concat(*each))).drop(posted, asked)
+    same = F.col(key).eqNullSafe(F.col(posted)) & _mark(key, text).eqNullSafe(F.col(mark))
+    return docs.join(found, same, "left").withColumn("secret_spans", F.array_sort(F.concat(*each))).drop(posted, mark, asked)
 
 
 def joined(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -2,7 +2,7 @@
 
 Rows of each stratum (source) are put in a seeded random order. A row's fractional rank is (rank - 0.5) / rows of its stratum; rows sorted by it interleave all strata in proportion, and the sorted sequence is cut into shards of equal counts, so each shard has each stratum's share to within about one row.
 
-No rank is taken in one task: an order is cut into ranges of the hash (or of the fraction), whose counts are summed up into offsets, and ``row_number`` runs within a range only. A source with most of the rows is thus dealt to as many tasks as its size asks for. The text is read once, by the scan; only narrow rows are shuffled.
+No rank is taken in one task: an order is cut into ranges of the hash (or of the fraction), whose counts are summed up into offsets in two levels, and ``row_number`` runs within a range only. A source with most of the rows is thus dealt to as many tasks as its size asks for. The text is read once, by the scan; only narrow rows are shuffled.
 
 Defined cases: a null text counts as empty; null sources form one stratum of their own; a null id is a value like others; rows that repeat id and text are kept, each with a slot; an empty table gives an empty result; other columns of the input are ignored.
 """
@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, written
+from tarmac.llm.common import documents, sum_before, written
 
 
-def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", stratum: str = "source", range_rows: int = 5_000) -> DataFrame:
+def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "doc_id", text: str = "text", stratum: str = "source", range_rows: int = 1_000) -> DataFrame:
     """key, stratum_key, size, text_crc32, shard, slot for every row of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(
@@ -29,15 +29,12 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "d
     total = base.count()
     ranges = max(1, -(-total // range_rows))
 
-    cell = F.shiftright(F.shiftright("order", 43) * ranges, 20)
+    cell = F.shiftright(F.shiftright("order", 32) * ranges, 31)
     base = base.withColumn("cell", cell)
-    so_far = Window.partitionBy("stratum_key").orderBy("cell")
     cells = base.groupBy("stratum_key", "cell").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.select(
-        F.col("stratum_key").alias("of_stratum"), F.col("cell").alias("of_cell"),
-        (F.sum("n").over(so_far) - F.col("n")).alias("before"),
-        F.sum("n").over(Window.partitionBy("stratum_key")).alias("in_stratum"),
-    )
+    strata = cells.groupBy("stratum_key").agg(F.sum("n").alias("in_stratum"))
+    cells = sum_before(cells, ["stratum_key"], "cell", "n", "before").join(strata, "stratum_key")
+    cells = cells.select(F.col("stratum_key").alias("of_stratum"), F.col("cell").alias("of_cell"), "before", "in_stratum")
     within = Window.partitionBy("stratum_key", "cell").orderBy("order", "key", "text_crc32", "size")
     ranked = (
         base.join(cells, (F.col("stratum_key") == F.col("of_stratum")) & (F.col("cell") == F.col("of_cell")))
@@ -49,7 +46,7 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "d
     ranked = written(ranked, "sharding-ranked")
 
     stretches = ranked.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))
-    stretches = stretches.select(F.col("stretch").alias("of_stretch"), (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))
+    stretches = sum_before(stretches, [], "stretch", "n", "before").select(F.col("stretch").alias("of_stretch"), "before")
     within = Window.partitionBy("stretch").orderBy("fraction", "order", "stratum_key", "key", "text_crc32", "size")
     place = F.col("before") + F.row_number().over(within) - 1
     shard = F.expr(f"place * {shards} div {max(1, total)}")

@@ -1,8 +1,10 @@
 import math
+import string
+import zlib
 
 import numpy as np
 
-from tarmac.llm.quality import OrdinalModel, features, fitted, graded, model_of, op1_quality, scored
+from tarmac.llm.quality import OrdinalModel, features, fitted, graded, loss_and_slope, model_of, op1_quality, scored
 
 
 def test_scores_by_hand():
@@ -57,3 +59,72 @@ def test_query(spark, sf):
         tails = model.tails(np.array([model.score(features(d.text, model.bits))]))[0]
         assert math.isclose(got[d.doc_id].expected_grade, tails.sum(), rel_tol=1e-9)
         assert got[d.doc_id].keep == (tails[-1] >= 0.5)
+
+
+def test_slope_is_that_of_the_plain_likelihood():
+    """The likelihood written down for each row, and its differences, against the gradient that the fit follows."""
+    rng = np.random.default_rng(3)
+    grades, used, n = 4, 5, 30
+    has = rng.random((n, used)) < 0.5
+    row, column = np.nonzero(has)
+    grade = rng.integers(0, grades, n)
+    weight = rng.random(n)
+    p = rng.normal(size=used + grades - 1) * 0.5
+
+    def plain(p):
+        cuts = [p[used]]
+        for gap in p[used + 1 :]:
+            cuts.append(cuts[-1] + math.exp(gap))
+        total = 0.3 * sum(x * x for x in p[:used]) / 2 / math.sqrt(used)
+        for i in range(n):
+            s = sum(p[j] for j in range(used) if has[i, j])
+            tail = [1.0, *(1 / (1 + math.exp(c - s)) for c in cuts), 0.0]
+            total -= weight[i] * math.log(tail[grade[i]] - tail[grade[i] + 1])
+        return total
+
+    loss, slope = loss_and_slope(p, used, row, column, grade, grades, weight, 0.3)
+    assert math.isclose(loss, plain(p), rel_tol=1e-9)
+    for k in range(len(p)):
+        e = np.zeros(len(p))
+        e[k] = 1e-6
+        assert math.isclose(slope[k], (plain(p + e) - plain(p - e)) / 2e-6, rel_tol=1e-5, abs_tol=1e-7)
+
+
+def test_features_by_a_plain_count():
+    def plain(text, bits):
+        names = set()
+        for w in text.lower().split():
+            while w and w[0] in string.punctuation:
+                w = w[1:]
+            while w and w[-1] in string.punctuation:
+                w = w[:-1]
+            if w:
+                names.add(w)
+        runs, at = [], ""
+        for c in text + " ":
+            if not c.isspace() and not (c.isalnum() or c == "_"):
+                at += c
+            elif at:
+                runs.append(at)
+                at = ""
+        words = text.split()
+        for r in set(runs):
+            names.add("\0" + r + str(len(bin(runs.count(r) * 64 // len(words))) - 2 if runs.count(r) * 64 // len(words) else 0))
+        shout = sum(w.isupper() for w in words) * 64 // max(1, len(words))
+        names.add("\0upper" + str(len(bin(shout)) - 2 if shout else 0))
+        names.add("\0long" + str(len(bin(len(words))) - 2 if words else 0))
+        return sorted({zlib.crc32(x.encode()) % (1 << bits) for x in names})
+
+    for text in ("", "Hello, hello!! WORLD?!?!?! (x) ...", "!!!!! a", "a,b;c d'e \"f\" " * 9, "ÄÖ ß--- --- ----- x_y"):
+        assert features(text, 20).tolist() == plain(text, 20)
+    # a run counts as it is, however long
+    assert features("a !!!!", 20).tolist() != features("a !!!!!", 20).tolist()
+
+
+def test_one_grade_only(spark):
+    docs = spark.createDataFrame([(i, f"word{i} again") for i in range(20)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, 2) for i in range(20)], "doc_id long, grade int")
+    model = fitted(docs, ratings)
+    got = scored(docs, model).collect()
+    assert not model.weights.any() and {r.quality_score for r in got} == {0.0} and all(r.keep for r in got)
+    assert list(model.thresholds) == sorted(model.thresholds)
