@@ -1,14 +1,14 @@
 """Suffix-array dedup: byte strings of ``length`` (50) that also start in a document of smaller id are removed.
 
-Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. In a first round, blocks of documents (ranges of ids) ask which of their keys occur elsewhere. In a second round they send the runs of repeated keys, each different run once, to the bucket of the key, so that all occurrences of a window meet in one bucket.
+Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. Documents are taken in blocks, dealt by a hash of id and text, so blocks are of like size whatever the ids are. In a first round a block asks for each of its keys, a row each; a Spark aggregate finds those that two blocks ask for, and they come back. In a second round blocks send the runs of repeated keys, each different run once and with the least id that has it, to the bucket of the key, so that all occurrences of a window meet in one bucket. The runs of a key that more than ``hot`` blocks ask for (such as blanks, or a phrase that a third of all documents have between different words) are sent window by window instead, dealt by the window itself.
 
-A bucket is taken in shards of bounded size. In each shard a suffix array over its runs is made by Larsson-Sadakane refinement: suffixes are sorted by a few symbols, then only groups not yet told apart are sorted again by the ranks of what follows, twice as deep each time. Kasai's common prefixes of neighbours, computed for the irreducible ones and carried on to the others, cut the array into classes of equal windows. Across shards, classes are merged by binary search of each shard's class strings among the others'. A window is removed if its class has a document of smaller id; one bit for each window goes back to its block.
+A bucket is taken in shards of bounded size. In each shard a suffix array over its runs is made by Larsson-Sadakane refinement: suffixes are sorted by a few symbols, then only groups not yet told apart are sorted again by the ranks of what follows, twice as deep each time. Kasai's common prefixes of neighbours, computed for the irreducible ones and carried on to the others, cut the array into classes of equal windows. Across shards, classes are merged one shard after the other, by binary search of a shard's class strings among those merged so far. A window is removed if its class has a document of smaller id; one bit for each window goes back to its block.
 
-A passage that a third of all documents share is sent once by each block, however many documents have it. The documents are shuffled once and all three passes read that exchange.
+A passage that a third of all documents share is sent once by each block, however many documents have it. A block has a row for each of its keys in the first round and at most one in the second, so rows grow with the input. The documents are shuffled once and all three passes read that exchange.
 
 Equality of windows is by their bytes; hashes only group and deal. Matches never cross documents.
 
-Defined cases: a null or empty text has no bytes; texts shorter than ``length`` are kept; nulls come before all other ids; rows that share an id are one document to each other (none of them has the smaller id); rows that repeat are each returned; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no bytes; texts shorter than ``length`` are kept; ids may be of any type that has an order, and nulls come before all others; rows that share an id are one document to each other (none of them has the smaller id); rows that repeat are each returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
+
+from tarmac.llm.common import dealt, documents, in_order, total_bytes
+from tarmac.llm.windows import lists_of, spans_of
+
+_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, 257, np.uint64)
+#: A number for each byte, and an odd base.
+_BYTE, _BASE = _RANDOM[:256], _RANDOM[256] | np.uint64(1)
 
-from tarmac.llm.common import documents, in_order, range_block, total_bytes
 
-_RANDOM = np.random.default_rng(20240229).integers(0, 1 << 64, (2, 258), np.uint64)
-#: Of both lanes: a number for each byte, and the bases of words and of windows.
-_BYTE, _BASES = _RANDOM[:, :256], _RANDOM[:, 256:] | np.uint64(1)
 class _Powers:
     """Powers of an odd base modulo 2^64 and of its inverse."""
 
@@ -51,54 +56,12 @@ def _texts(table: pa.Table, text: str) -> list[bytes]:
     return [b if b is not None else b"" for b in table.column(text).cast(pa.binary()).to_pylist()]
 
 
-def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of ``hashes`` by bucket, else as they stand, and where each bucket starts in it."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32)
-    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-
-
-def asked(block: int, hashes: np.ndarray, buckets: int) -> pa.Table:
-    """Rows (block, bucket, hashes): 32 bits of each of the different ``hashes``, beside those that chose the bucket."""
-    order, starts = _by_bucket(hashes, buckets)
-    used = np.flatnonzero(np.diff(starts))
-    h = hashes[order].astype(np.uint32)
-    return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "hashes": pa.array([h[starts[b] : starts[b + 1]].tobytes() for b in used], pa.binary())})
-
-
 def packed(bits: np.ndarray) -> bytes:
     return zlib.compress(np.packbits(bits).tobytes(), 1)
 
 
-def elsewhere(table: pa.Table) -> pa.Table:
-    """For one bucket: rows (block, bucket, flags), a bit for each hash asked: whether it is asked again."""
-    each = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
-    again = pd.Series(np.concatenate(each)).duplicated(keep=False).to_numpy()
-    ends = np.cumsum([len(x) for x in each])
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([packed(again[e - len(x) : e]) for x, e in zip(each, ends)], pa.binary())})
-
-
-def answers(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
-    """The bits that came back, in the order of ``hashes``."""
-    order, starts = _by_bucket(hashes, buckets)
-    out = np.zeros(len(hashes), bool)
-    for b, bits in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):
-        own = order[starts[b] : starts[b + 1]]
-        out[own] = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=len(own)).view(bool)
-    return out
-
-
-def different(hashes: np.ndarray) -> np.ndarray:
-    return hashes[~pd.Series(hashes).duplicated().to_numpy()]
-
-
-def repeated(hashes: np.ndarray, flags: pa.Table, buckets: int) -> np.ndarray:
-    """Whether each of a block's ``hashes`` occurs again in it or, by the bits that came back, elsewhere."""
-    own = different(hashes)
-    again = pd.Series(hashes).duplicated(keep=False).to_numpy()
-    found = own[answers(own, flags, buckets)]
-    return again | pd.Series(hashes).isin(found).to_numpy() if len(found) else again
-
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=count).view(bool)
 
 
 #: Bytes that are hashed at once; bytes of runs in a shard at most; bytes of input for each bucket of runs, few enough for a suffix array to stay in the caches.
@@ -196,7 +159,7 @@ class Runs:
 
     def __init__(self, texts: list[bytes], length: int):
         self.texts, self.length, gram = texts, length, min(GRAM, length)
-        powers, held, some = _Powers(_BASES[0, 0]), 0, []
+        powers, held, some = _Powers(_BASE), 0, []
         parts: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> None:
@@ -211,7 +174,7 @@ class Runs:
             if len(x) < length:
                 return
             up, down = powers.to(len(x))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[0][x] * down[: len(x)])])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[x] * down[: len(x)])])
             g = _mixed((total[gram:] - total[:-gram]) * up[: len(x) - gram + 1])
             width, spanned = length - gram + 1, 1
             while spanned < width:
@@ -251,25 +214,31 @@ class Runs:
         empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
         self.doc, self.at, self.windows, self.key = (np.concatenate([p[i] for p in parts] or [empty[i]]) for i in range(4))
 
-    def strings(self, runs: np.ndarray) -> list[bytes]:
+    def strings(self, doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> list[bytes]:
         more = self.length - 1
         texts = self.texts
-        return [texts[d][a : a + n + more] for d, a, n in zip(self.doc[runs].tolist(), self.at[runs].tolist(), self.windows[runs].tolist())]
+        return [texts[d][a : a + n + more] for d, a, n in zip(doc.tolist(), at.tolist(), windows.tolist())]
 
 
 class Offer:
-    """The different strings of a block's repeated runs, by bucket and in order of first occurrence."""
-
-    def __init__(self, runs: Runs, flags: pa.Table, buckets: int, shelves: int):
-        """Keys were asked by ``buckets``; strings are sent by ``shelves``, which are more, so that one seldom needs a second shard."""
-        self.chosen = np.flatnonzero(repeated(runs.key, flags, buckets))
-        order, starts = _by_bucket(runs.key[self.chosen], shelves)
-        self.order = self.chosen[order]
-        strings = runs.strings(self.order)
-        self.code, self.different = pd.factorize(np.array([*strings, None], dtype=object)[:-1]) if strings else (np.zeros(0, np.int64), np.zeros(0, object))
-        first = np.flatnonzero(~pd.Series(self.code).duplicated().to_numpy())  # equal strings have equal keys, so codes rise from bucket to bucket
-        self.first = first
-        self.starts = np.searchsorted(first, starts)  # where each bucket's strings start among the different ones
+    """The different strings of a block's chosen runs, in order of their buckets and then of first occurrence; each window of a hot run is a string of its own."""
+
+    def __init__(self, runs: Runs, chosen: np.ndarray, hot: np.ndarray, buckets: int):
+        plain, split = np.flatnonzero(chosen & ~hot), np.flatnonzero(chosen & hot)
+        n = runs.windows[split]
+        doc = np.concatenate([runs.doc[plain], np.repeat(runs.doc[split], n)])
+        at = np.concatenate([runs.at[plain], _ragged(runs.at[split], n)])
+        windows = np.concatenate([runs.windows[plain], np.ones(int(n.sum()), np.int64)])
+        strings = runs.strings(doc, at, windows)
+        dealt = np.concatenate([runs.key[plain], np.array([xxh64_intdigest(s) for s in strings[len(plain) :]], np.uint64)])
+        bucket = (((dealt >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((at, doc, bucket))
+        self.doc, self.at, self.windows, bucket = doc[order], at[order], windows[order], bucket[order]
+        self.code, self.different = pd.factorize(np.array([*[strings[i] for i in order.tolist()], None], dtype=object)[:-1]) if strings else (np.zeros(0, np.int64), np.zeros(0, object))
+        # equal strings have equal buckets, so codes rise from bucket to bucket
+        self.first = np.flatnonzero(~pd.Series(self.code).duplicated().to_numpy())
+        self.buckets, starts = np.unique(bucket[self.first], return_index=True)
+        self.starts = np.append(starts, len(self.first))  # where each bucket's strings start among the different ones
 
 
 # ---------------------------------------------------------------- classes
@@ -313,131 +282,141 @@ def settled(strings: list[bytes], order: np.ndarray, length: int, shard: int = S
             np.minimum.at(least, code, own)
             shards.append((code, names, windows, own, least))
             some, held = [], 0
-    bits = []
-    for a, (code, names, _, own, least) in enumerate(shards):
-        best = least.copy()
-        for b, (_, other, _, _, theirs) in enumerate(shards):
-            if a != b and len(other) and len(names):
-                at = np.minimum(np.searchsorted(other, names), len(other) - 1)
-                same = other[at] == names
-                best[same] = np.minimum(best[same], theirs[at[same]])
-        bits.append(best[code] < own)
+    known, best = (shards[0][1], shards[0][4]) if shards else (np.zeros(0, f"S{length}"), np.zeros(0, np.int64))
+    for _, names, _, _, least in shards[1:]:
+        # names are in order, so a search goes on where the last one ended
+        at, same = _found(known, names)
+        np.minimum.at(best, at[same], least[same])
+        known, best = np.insert(known, at[~same], names[~same]), np.insert(best, at[~same], least[~same])
+    bits = [best[_found(known, names)[0]][code] < own for code, names, _, own, _ in shards]
     return np.concatenate(bits or [np.zeros(0, bool)]), np.concatenate([x[2] for x in shards] or [np.zeros(0, np.int64)])
 
 
-def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD) -> DataFrame:
+def _found(known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``names`` are among ``known``, or would stand, and whether they are there."""
+    at = np.searchsorted(known, names)
+    return at, (known[np.minimum(at, len(known) - 1)] == names) & (at < len(known)) if len(known) else np.zeros(len(names), bool)
+
+
+def _own_bits(chosen: np.ndarray, hot: np.ndarray) -> bytes:
+    return packed(np.concatenate([chosen, hot]))
+
+
+def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD, hot: int = 200) -> DataFrame:
     """key, n_bytes, n_removed, intervals (array of start, end in bytes), kept (binary)."""
-    block, total = range_block(docs, key, text, block_bytes)[0], total_bytes(docs, text)
-    buckets, shelves = max(1, -(-total // block_bytes)), max(1, -(-total // SHELF))
-    placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), block.alias("block"))
+    total, kind = total_bytes(docs, text), docs.schema[key].dataType
+    blocks, shelves = max(1, -(-total // block_bytes)), max(1, -(-total // SHELF))
+    placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), dealt([F.col(key), F.xxhash64(text)], blocks).alias("block"))
 
-    def read(table: pa.Table) -> tuple[pa.Table, list[bytes], Runs]:
+    def read(table: pa.Table) -> tuple[int, pa.Table, list[bytes], Runs]:
         own = in_order(table, "key", "body")
         texts = _texts(own, "body")
-        return own, texts, Runs(texts, length)
-
-    def ranks(own: pa.Table) -> np.ndarray:
-        """Rows of one id have one rank."""
-        k = own.column("key").combine_chunks()
-        if len(k) < 2:
-            return np.zeros(len(k), np.int64)
-        a, b = k.slice(1), k.slice(0, len(k) - 1)
-        same = pa.compute.fill_null(pa.compute.equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
-        return np.concatenate([[0], np.cumsum(~same)])
+        return own.column("block")[0].as_py() if own.num_rows else 0, own, texts, Runs(texts, length)
 
     def ask(table: pa.Table) -> pa.Table:
-        own, _, runs = read(table)
-        return asked(own.column("block")[0].as_py(), different(runs.key), buckets)
-
-    def offer(table: pa.Table, flags: pa.Table) -> pa.Table:
-        own, _, runs = read(table)
-        offered = Offer(runs, flags, buckets, shelves)
-        rank = ranks(own)[runs.doc[offered.order[offered.first]]]
+        block, _, _, runs = read(table)
+        keys = pd.unique(runs.key)
+        return pa.table({"block": pa.array(np.full(len(keys), block), pa.int64()), "asked": pa.array(keys.view(np.int64))})
+
+    def offer(table: pa.Table, known: pa.Table) -> pa.Table:
+        block, own, _, runs = read(table)
+        of_key = pd.Series(known.column("many").to_numpy(zero_copy_only=False), index=known.column("asked").to_numpy().view(np.uint64))
+        asked = of_key.reindex(runs.key)
+        chosen = asked.notna().to_numpy() | pd.Series(runs.key).duplicated(keep=False).to_numpy()
+        is_hot = asked.fillna(False).to_numpy().astype(bool)
+        offered = Offer(runs, chosen, is_hot, shelves)
+        least = own.column("key").combine_chunks().take(pa.array(offered.doc[offered.first]))
         squeeze = zstandard.ZstdCompressor(level=1)
-        used = np.flatnonzero(np.diff(offered.starts))
-        rows = []
-        for b in used:
-            lo, hi = offered.starts[b], offered.starts[b + 1]
-            strings = offered.different[lo:hi]
-            sizes = np.array([len(s) for s in strings], np.uint32)
-            rows.append((sizes.tobytes(), rank[lo:hi].astype(np.uint32).tobytes(), squeeze.compress(b"".join(strings))))
-        block = own.column("block")[0].as_py() if own.num_rows else 0
-        return pa.table({"block": pa.array(np.full(len(used), block), pa.int64()), "bucket": pa.array(used, pa.int64()), "sizes": pa.array([r[0] for r in rows], pa.binary()), "ranks": pa.array([r[1] for r in rows], pa.binary()), "strings": pa.array([r[2] for r in rows], pa.binary())})
+        sizes, strings = [], []
+        for lo, hi in zip(offered.starts[:-1], offered.starts[1:]):
+            some = offered.different[lo:hi]
+            sizes.append(np.array([len(s) for s in some], np.uint32).tobytes())
+            strings.append(squeeze.compress(b"".join(some)))
+        # a row that settles nothing tells the last pass which runs were chosen
+        n = len(offered.buckets)
+        return pa.table({
+            "block": pa.array(np.full(n + 1, block), pa.int64()), "bucket": pa.array([*offered.buckets.tolist(), -1 - block], pa.int64()), "sizes": pa.array([*sizes, b""], pa.binary()),
+            "keys": pa.ListArray.from_arrays(pa.array([*offered.starts.tolist(), int(offered.starts[-1])], pa.int32()), least), "strings": pa.array([*strings, _own_bits(chosen, is_hot)], pa.binary()),
+        })
 
     def settle(table: pa.Table) -> pa.Table:
-        table = table.take(pa.compute.sort_indices(table.column("block")))
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["block", "bucket", "strings"]).rename_columns(["block", "bucket", "flags"])
         strings: list[bytes] = []
-        order: list[np.ndarray] = []
-        for place, (sizes, rank, squeezed) in enumerate(zip(*(table.column(c).to_pylist() for c in ("sizes", "ranks", "strings")))):
-            sizes, rank = np.frombuffer(sizes, np.uint32), np.frombuffer(rank, np.uint32)
+        counts = []
+        for sizes, squeezed in zip(table.column("sizes").to_pylist(), table.column("strings").to_pylist()):
+            sizes = np.frombuffer(sizes, np.uint32)
             body, ends = zstandard.ZstdDecompressor().decompress(squeezed), np.cumsum(sizes).tolist()
             strings += [body[a:b] for a, b in zip([0, *ends], ends)]
-            order.append(rank.astype(np.int64) + (place << 32))
-        rows, orders = np.array([*strings, None], dtype=object)[:-1], np.concatenate(order)
-        code, _ = pd.factorize(rows)
+            counts.append(len(sizes))
+        orders = _ranks(pa.concat_arrays([c.flatten() for c in table.column("keys").chunks]))
+        code, _ = pd.factorize(np.array([*strings, None], dtype=object)[:-1])
         least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, orders)
         pick = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())
         bits, windows = settled([strings[i] for i in pick], least, length, shard)
         starts = np.cumsum(windows) - windows
-        # where a string is not the first of its kind, all its windows are repeats
+        # where a smaller id has the whole string, all its windows are repeats
         answer = bits[_ragged(starts[code], windows[code])] | np.repeat(orders != least[code], windows[code])
-        ends = np.concatenate([[0], np.cumsum(windows[code])])[np.cumsum([0, *map(len, order)])]
-        flags = [packed(answer[x:y]) for x, y in zip(ends[:-1], ends[1:])]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array(flags, pa.binary()), "kind": pa.array(np.ones(len(flags), np.int32))})
+        ends = np.concatenate([[0], np.cumsum(windows[code])])[np.cumsum([0, *counts])]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([packed(answer[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary())})
 
     def remove(table: pa.Table, flags: pa.Table) -> pa.Table:
-        own, texts, runs = read(table)
-        kind = flags.column("kind")
-        offered = Offer(runs, flags.filter(pa.compute.equal(kind, 0)), buckets, shelves)
-        rank = ranks(own)
-        windows = runs.windows[offered.order[offered.first]]  # of each different string
-        starts = np.concatenate([[0], np.cumsum(windows)])
-        bits = np.zeros(int(starts[-1]), bool)
-        settled_rows = flags.filter(pa.compute.equal(kind, 1))
-        for b, answer in zip(settled_rows.column("bucket").to_pylist(), settled_rows.column("flags").to_pylist()):
-            lo, hi = starts[offered.starts[b]], starts[offered.starts[b + 1]]
-            bits[lo:hi] = np.unpackbits(np.frombuffer(zlib.decompress(answer), np.uint8), count=int(hi - lo)).view(bool)
+        _, own, texts, runs = read(table)
+        found = dict(zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()))
         size = np.array([len(t) for t in texts], np.int64)
         base = np.concatenate([[0], np.cumsum(size)])
         step = np.zeros(int(base[-1]) + 1, np.int32)
-        if len(offered.order):
-            run_rank = rank[runs.doc[offered.order]]
-            later = run_rank > run_rank[offered.first][offered.code]
-            at = base[runs.doc[offered.order]] + runs.at[offered.order]
-            n = runs.windows[offered.order]
+        (told,) = [v for k, v in found.items() if k < 0] or [_own_bits(np.zeros(len(runs.key), bool), np.zeros(len(runs.key), bool))]
+        both = unpacked(told, 2 * len(runs.key))
+        offered = Offer(runs, both[: len(runs.key)], both[len(runs.key) :], shelves)
+        if len(offered.code):
+            windows = offered.windows[offered.first]  # of each different string
+            starts = np.concatenate([[0], np.cumsum(windows)])
+            bits = np.zeros(int(starts[-1]), bool)
+            for b, lo, hi in zip(offered.buckets.tolist(), starts[offered.starts[:-1]], starts[offered.starts[1:]]):
+                bits[lo:hi] = unpacked(found[b], int(hi - lo))
+            rank = _ranks(own.column("key").combine_chunks())[offered.doc]
+            later = rank > rank[offered.first][offered.code]
+            at, n = base[offered.doc] + offered.at, offered.windows
             np.add.at(step, at[later], 1)
             np.add.at(step, at[later] + n[later] + length - 1, -1)
             some = np.flatnonzero(~later)
-            from_, count = starts[offered.code[some]], n[some]
-            hit = _ragged(at[some], count)[bits[_ragged(from_, count)]]
+            hit = _ragged(at[some], n[some])[bits[_ragged(starts[offered.code[some]], n[some])]]
             np.add.at(step, hit, 1)
             np.add.at(step, hit + length, -1)
         gone = np.cumsum(step[:-1], dtype=np.int32) > 0
-        edge = np.concatenate([[False], gone, [False]])
-        change = np.flatnonzero(edge[1:] != edge[:-1])
-        inner = base[1:-1]
-        inner = inner[(inner > 0) & (inner < len(gone))]
-        cut = np.unique(inner[gone[inner] & gone[inner - 1]]) if len(inner) else inner
-        start, end = np.sort(np.concatenate([change[::2], cut])), np.sort(np.concatenate([change[1::2], cut]))
-        of = np.searchsorted(base, start, side="right") - 1
-        spans = np.searchsorted(of, np.arange(len(texts) + 1))
-        a, b = start - base[of], end - base[of]
+        of, a, b = spans_of(gone, size)
         removed = np.bincount(of, b - a, len(texts)).astype(np.int64) if len(of) else np.zeros(len(texts), np.int64)
+        spans = np.searchsorted(of, np.arange(len(texts) + 1))
         kept = []
         for i, t in enumerate(texts):
             lo, hi = spans[i], spans[i + 1]
             kept.append(t if lo == hi else b"".join(t[x:y] for x, y in zip([0, *b[lo:hi].tolist()], [*a[lo:hi].tolist(), len(t)])))
-        lists = pa.ListArray.from_arrays(pa.array(spans.astype(np.int32)), pa.StructArray.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["start", "end"]))
-        return pa.table({"key": own.column("key"), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "intervals": lists, "kept": pa.array(kept, pa.binary())})
+        return pa.table({"key": own.column("key"), "n_bytes": pa.array(size), "n_removed": pa.array(removed), "intervals": lists_of(of, a, b, len(texts)), "kept": pa.array(kept, pa.binary())})
 
+    long = lambda n: T.StructField(n, T.LongType(), False)
+    binary = lambda n: T.StructField(n, T.BinaryType())
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    out = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", spans_type), T.StructField("kept", T.BinaryType())])
-    keys = placed.groupBy("block").applyInArrow(ask, "block long, bucket long, hashes binary").groupBy("bucket").applyInArrow(elsewhere, "block long, bucket long, flags binary")
-    offers = placed.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(offer, "block long, bucket long, sizes binary, ranks binary, strings binary")
-    settled_bits = offers.groupBy("bucket").applyInArrow(settle, "block long, bucket long, flags binary, kind int")
-    flags = keys.withColumn("kind", F.lit(0)).union(settled_bits)
-    return placed.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
+    out = T.StructType([T.StructField("key", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("intervals", spans_type), T.StructField("kept", T.BinaryType())])
+    by_block = placed.groupBy("block")
+    # shuffled once: the count and the join back read the same exchange
+    asked = by_block.applyInArrow(ask, T.StructType([long("block"), long("asked")])).repartition("asked")
+    shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min("block").alias("one"), F.max("block").alias("other"), F.count(F.lit(1)).alias("blocks"))
+    shared = shared.filter("one < other").select("shared", (F.col("blocks") > hot).alias("many"))
+    known = asked.join(shared, F.col("asked") == F.col("shared")).select("block", "asked", "many")
+    offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, T.StructType([long("block"), long("bucket"), binary("sizes"), T.StructField("keys", T.ArrayType(kind)), binary("strings")]))
+    flags = offers.groupBy("bucket").applyInArrow(settle, T.StructType([long("block"), long("bucket"), binary("flags")]))
+    return by_block.cogroup(flags.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
+
+
+def _ranks(keys: pa.Array) -> np.ndarray:
+    """The place of each key among the different ones, nulls first; equal keys have one place."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    known = pc.unique(keys)
+    place = np.empty(len(known), np.int64)
+    place[pc.array_sort_indices(known, null_placement="at_start").to_numpy()] = np.arange(len(known))
+    return place[pc.index_in(keys, known).to_numpy(zero_copy_only=False)] if len(keys) else place
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,31 @@ def test_query(spark, sf):
     want = {k: (n, m, s, hashlib.sha256(t).hexdigest()) for k, n, m, s, t in brute(docs, 50)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op9_suffixes(spark, sf).collect()}
     assert got == want and any(m for _, m, _, _ in want.values())
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_keys_are_sent_window_by_window(spark, hot):
+    """A common phrase between different words, in every block; and long runs of one byte."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = say(35)
+    texts = [say(rng.randrange(20)) + phrase + say(rng.randrange(40)) + " " * rng.randrange(60) + phrase[5:] for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = deduplicated_substrings(docs, 25, block_bytes=700, hot=hot).collect()
+    want = brute([(k, t.encode()) for k, t in enumerate(texts)], 25)
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, len(r.intervals), bytes(r.kept))) for r in got) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("ids", ["string", "clustered", "none"])
+def test_any_ids(spark, ids):
+    rng = random.Random(7)
+    say = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    common = say(60)
+    texts = [say(rng.randrange(80)) + (common if rng.random() < 0.5 else "") for _ in range(50)]
+    keys = {"string": [f"p/{i * 37 % 50:05d}" for i in range(50)], "clustered": [10**15 + i if i % 3 else i for i in range(50)], "none": [None] * 50}[ids]
+    docs = spark.createDataFrame(list(zip(keys, texts)), f"doc_id {'string' if ids != 'clustered' else 'long'}, text string")
+    got = deduplicated_substrings(docs, 20, block_bytes=600).collect()
+    place = {k: i for i, k in enumerate(sorted({k for k in keys if k is not None}))}
+    want = [(n, m, s, t) for _, n, m, s, t in brute([(place.get(k), t.encode()) for k, t in zip(keys, texts)], 20)]
+    assert sorted((r.n_bytes, r.n_removed, len(r.intervals), bytes(r.kept)) for r in got) == sorted(want)
+    assert ids == "none" or any(w[1] for w in want)
