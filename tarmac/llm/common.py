@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Folders of the tables that this process has written, for ``written_alone``.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``. A folder of this machine only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,15 +32,29 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends here and a lost executor costs a reread only. ``narrow``: rows are few and small, so eight partitions share a file."""
     path = f"{scratch(df.sparkSession)}/tarmac/{name}-{uuid.uuid4().hex}"
     (df.coalesce(max(8, partitions(df.sparkSession) // 8)) if narrow else df).write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, parent)
+
+
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` gives, as by ``written``; those that were written on the way to it are deleted."""
+    before = len(_MADE)
+    made = written(make(), name)
+    for folder in _MADE[before:-1]:
+        _delete(made.sparkSession, folder)
+    del _MADE[before:]
+    return made
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:

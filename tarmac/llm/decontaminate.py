@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tarmac.llm.common import documents, small_batches
+from tarmac.llm.common import documents, fresh, small_batches
 
 _FORM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -132,9 +132,9 @@ def _blocks(benchmark: DataFrame, item_key: str, item_text: str, tolerance: int,
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", tolerance: int = 16, least_chars: int = 32, block_chars: int = 8_000_000) -> DataFrame:
-    """One row for each document and item found in it: key, item_key, distance, allowed, start, end (offsets in bytes of the common form)."""
+    """One row for each document and item found in it: key, item_key (with an underscore behind it if both have one name), distance, allowed, start, end (offsets in bytes of the common form)."""
     schema = T.StructType([
-        T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, benchmark.schema[item_key].dataType),
+        T.StructField(key, docs.schema[key].dataType), T.StructField(fresh(docs.select(key), item_key.lower()) if item_key.lower() == key.lower() else item_key, benchmark.schema[item_key].dataType),
         T.StructField("distance", T.IntegerType()), T.StructField("allowed", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     ])
     small_batches(docs.sparkSession)

@@ -93,3 +93,31 @@ def test_short_items_are_whole_words_without_edits(spark):
     items = spark.createDataFrame([(1, "Who wrote Émile?"), (2, " ?! "), (3, "xyz")], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id, r.distance, r.allowed) for r in contaminated(docs, items).collect()) == [(1, 1, 0, 0), (5, 1, 0, 0), (6, 1, 0, 0)]
     assert sorted(r.doc_id for r in uncontaminated(docs, items).collect()) == [2, 3, 4]
+
+
+def test_edited_passages_in_tables(spark):
+    """Every document against every item, cell by cell; items short and long, edits below, at and above what is allowed."""
+    rng = random.Random(9)
+    words = ["on", "er", "that", "inth", "the", "re", "ingat", "ble", "Été", "x1"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate([3, 6, 9, 12, 16, 24, 40])]
+    docs = []
+    for d in range(70):
+        _, t = rng.choice(items)
+        docs.append((d, f"{say(rng.randrange(20))} {edited(t, rng.randrange(len(t) // 16 + 3), rng)} {say(rng.randrange(20))}"))
+    forms, want = {i: common_form(t) for i, t in items}, {}
+    for d, t in docs:
+        for i, f in forms.items():
+            text = common_form(t)
+            if len(f) < 32:
+                if f" {f} " in f" {text} ":
+                    want[d, i] = 0
+            elif (n := least_distance(f, text)) <= len(f) // 16:
+                want[d, i] = n
+    d = spark.createDataFrame(docs, "id long, text string")
+    b = spark.createDataFrame(items, "id long, text string")
+    found = contaminated(d, b, key="id", item_key="id")
+    assert found.columns == ["id", "id_", "distance", "allowed", "start", "end"]
+    assert {(r.id, r.id_): r.distance for r in found.collect()} == want
+    assert {n for n in want.values()} >= {0, 1, 2}
+    assert {r.id for r in uncontaminated(d, b, item_key="id").collect()} == {k for k, _ in docs} - {k for k, _ in want}
