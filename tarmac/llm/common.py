@@ -91,8 +91,13 @@ def dealt(by: list[Column], blocks: int) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(blocks).cast("long"))
 
 
-#: Quantiles that ranges are cut at, a square number: they are looked up in two steps.
-QUANTILES = 10_000
+#: Quantiles that ranges are cut at, at most.
+QUANTILES = 2_500
+
+
+def _constants(values: list, kind: str) -> Column:
+    """An array of constants as one literal; thousands of them would burden every step of planning."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _leading(text: Column, skip: int) -> Column:
@@ -118,10 +123,10 @@ def range_block(df: DataFrame, key: str, text: str, size: int) -> tuple[Column,
     else:
         number = F.floor(k).cast("long")
     nameless = F.when(k.isNull(), _leading(F.coalesce(F.col(text), F.lit("")), 0))
-    shares = F.lit([i / QUANTILES for i in range(QUANTILES + 1)])
+    shares = _constants([i / QUANTILES for i in range(QUANTILES + 1)], "double")
     got = df.agg(
         F.sum(F.octet_length(text)).alias("bytes"), F.sum(F.when(k.isNull(), F.octet_length(text))).alias("nameless"),
-        F.percentile_approx(number, shares, 50_000).alias("q"), F.percentile_approx(nameless, shares, 50_000).alias("p"),
+        F.percentile_approx(number, shares, 20_000).alias("q"), F.percentile_approx(nameless, shares, 20_000).alias("p"),
     ).first()
     some = got["nameless"] or 0
     named, n = _cut(number, got["q"], -(-((got["bytes"] or 0) - some) // size))
@@ -137,14 +142,12 @@ def _cut(number: Column, quantiles: list[int] | None, blocks: int) -> tuple[Colu
     cuts = sorted({quantiles[i * QUANTILES // used] for i in range(used + 1)})
     low, high = cuts[:-1] or cuts, cuts[1:] or [cuts[0] + 1]
     parts = max(1, -(-blocks // len(low)))
-    # which hundred of the cuts, then which of the hundred
+    # looked up in two steps: among every ``width``-th of the cuts, then among those from there on
     width = max(1, round(len(low) ** 0.5))
-    rows = [low[i : i + width] for i in range(0, len(low), width)]
-    longs = lambda x: F.lit(x).cast("array<bigint>")
     at_most = lambda c: F.greatest(F.lit(1), F.size(F.filter(c, lambda b: b <= number)))
-    row = at_most(longs([r[0] for r in rows]))
-    segment = (row - 1) * width + at_most(F.element_at(F.lit(rows).cast("array<array<bigint>>"), row))
-    start, end = F.element_at(longs(low), segment), F.element_at(longs(high), segment)
+    before = (at_most(_constants(low[::width], "bigint")) - 1) * width
+    segment = before + at_most(F.slice(_constants(low, "bigint"), before + 1, F.lit(width)))
+    start, end = F.element_at(_constants(low, "bigint"), segment), F.element_at(_constants(high, "bigint"), segment)
     within = F.floor((number.cast("double") - start) * parts / F.greatest(F.lit(1.0), end.cast("double") - start))
     return ((segment - 1) * parts + F.least(F.greatest(within, F.lit(0)), F.lit(parts - 1))).cast("long"), len(low) * parts
 

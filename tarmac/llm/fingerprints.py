@@ -2,7 +2,7 @@
 
 A text is a bag of words, each weighted by how often it occurs. For each of ``samples`` draws, every word gets gamma(2, 1) variates r and c and a uniform b, all from hashes of the word and the draw, hence the same in every text. With weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r; the word of least a is drawn, and its (word, t) is the draw's code. Two texts have equal codes with a probability that is the generalised Jaccard similarity of their bags (sum of least weights over sum of greatest), so the share of equal codes estimates it.
 
-All steps are DataFrame functions. A draw's least is one minimum over 64-bit values: ln a in fixed point above, the code's hash below. Documents are placed once, in blocks of consecutive ids; the next document, the counts of words, the draws and the next fingerprint all build on that one exchange.
+All steps are DataFrame functions; one narrow table, a row for each block, is written to the shared folder. A draw's least is one minimum over 64-bit values: ln a in fixed point above, the code's hash below. Documents are placed once, in blocks of consecutive ids; the next document, the counts of words, the draws and the next fingerprint all build on that one exchange.
 
 Defined cases: a null text counts as empty; texts without words have one fingerprint of their own, alike to each other; ids order documents, nulls first and rows that share an id by their texts; rows that repeat are each returned; the only row is its own next document; an empty table gives an empty result; other columns are ignored.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, one_before, range_block
+from tarmac.llm.common import documents, one_before, range_block, written
 
 #: Blocks whose first keys are broadcast at most; more are joined by a shuffle.
 MOST_HEADS = 100_000
@@ -75,7 +75,7 @@ def neighbours(docs: DataFrame, key: str, text: str, block_bytes: int) -> DataFr
     """block, place (row number in the block), copy, key, body, after: the next document's text, the first's after the last. Rows with ``copy`` stand behind each block for the first document of the next one."""
     block, blocks = range_block(docs, key, text, block_bytes)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"), block.alias("block"))
-    heads = rows.groupBy("block").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("head"))
+    heads = written(rows.groupBy("block").agg(F.min(F.struct(F.col("key").isNotNull().alias("known"), "key")).alias("head")), "fingerprints-heads", narrow=True)
     # the first block's head stands behind the last
     heads = heads.join(one_before(heads.select("block"), "block"), F.col("block") == F.col("of")).select("of", "before", F.col("head.key").alias("head"))
     # a row for each block
