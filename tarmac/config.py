@@ -47,3 +47,14 @@ def load(path: str | Path | None = None) -> dict[str, Any]:
     for layer in reversed(layers):
         merged = over(merged, layer)
     return merged
+
+
+def write_runtime(folder: str | Path, label: str, base: str | Path, values: dict[str, Any]) -> Path:
+    """A file in ``folder`` that extends ``base`` with ``values`` (such as which dashboards are fed), for one run; its path."""
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    safe = "".join(c if c.isascii() and (c.isalnum() or c in "_.-") else "_" for c in label)
+    at = folder / f"{safe}.full-flow.yml"
+    # JSON is YAML too
+    at.write_text(json.dumps({"extends": os.path.relpath(Path(base).resolve(), folder.resolve()), **values}, indent=2) + "\n", encoding="utf-8")
+    return at

@@ -21,7 +21,7 @@ HOUR_MS = 3_600_000
 
 @dataclass(frozen=True)
 class Disorder:
-    """``mean``: of the exponential delays, a third of the greatest delay unless given."""
+    """``mean``: of the exponential delays, a third of the greatest delay unless given. ``flush_interval``, ``log_interval``: events between two flushes and two lines of the log, where a producer sends them one by one."""
 
     probability: float = 0.3
     delay: float = 120.0
@@ -29,6 +29,8 @@ class Disorder:
     mean: float | None = None
     seed: int = 42
     acceleration: float = 57_600.0
+    flush_interval: int = 5_000
+    log_interval: int = 100_000
 
     def __post_init__(self):
         if not 0 <= self.probability <= 1:
@@ -39,6 +41,8 @@ class Disorder:
             raise ValueError(f"the distribution must be one of {DISTRIBUTIONS}")
         if self.delay < 0:
             raise ValueError("the greatest delay can't be negative")
+        if self.flush_interval <= 0 or self.log_interval <= 0:
+            raise ValueError("the intervals of flushing and logging must be above 0")
         if self.distribution == "exponential" and self.mean is not None and self.mean <= 0:
             raise ValueError("the mean delay must be above 0")
 

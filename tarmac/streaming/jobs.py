@@ -44,6 +44,16 @@ def removed(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def produced(flights: DataFrame, path: str, chunk: str, chunks: int, again: bool = False) -> bool:
+    """Writes a stream's files unless there are some already (as one would not produce into a topic that has events); whether it did."""
+    at = flights.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(flights.sparkSession._jsc.hadoopConfiguration())
+    if not again and fs.exists(at) and any(s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(at)):
+        return False
+    streams.write_chunks(flights, path, chunk, chunks)
+    return True
+
+
 def replayed(flights: DataFrame, query, chunks: int = 4, format: str = "parquet") -> DataFrame:
     """``query`` of the flights as a stream: ``chunks`` files in order of time, then the end of the stream; the result once all is read."""
     spark, at = flights.sparkSession, shared(flights.sparkSession)

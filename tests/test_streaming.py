@@ -152,3 +152,11 @@ def test_topics_need_only_the_connector(spark, flights, tmp_path):
         streams.from_kafka(spark, "none:9092", "flights")
     with pytest.raises(ValueError):
         streams.from_kafka(spark, "none:9092", "flights", "xml")
+
+
+def test_nothing_is_produced_twice(spark, flights, tmp_path):
+    at = f"{tmp_path}/topic"
+    assert jobs.produced(flights, at, "0", 1) and not jobs.produced(flights, at, "0", 1)
+    n = spark.read.parquet(at).count()
+    assert n == flights.count() + 1
+    assert jobs.produced(flights, at, "0", 1, again=True) and spark.read.parquet(at).count() == 2 * n

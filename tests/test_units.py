@@ -102,7 +102,7 @@ def test_order_without_one_task(spark):
 
 
 def test_disorder_is_checked():
-    for bad in ({"probability": 1.5}, {"acceleration": 0}, {"distribution": "normal"}, {"delay": -1}, {"mean": 0}):
+    for bad in ({"probability": 1.5}, {"acceleration": 0}, {"distribution": "normal"}, {"delay": -1}, {"mean": 0}, {"flush_interval": 0}, {"log_interval": -1}):
         with pytest.raises(ValueError):
             replay.Disorder(**bad)
     assert replay.Disorder(delay=120).mean_delay == 40
@@ -230,3 +230,29 @@ def T_schema():
     from pyspark.sql import types
 
     return types.StructType([types.StructField(f.name, f.dataType) for f in FLIGHT])
+
+
+def test_merge_command(spark, tmp_path):
+    from tarmac import merge_results
+
+    (tmp_path / "config" / "experiments").mkdir(parents=True)
+    (tmp_path / "config" / "base.yml").write_text(json.dumps({"experiment": {"name": "base"}, "paths": {
+        "q1_results_host_path": "r/q1", "q1_merged_output_host_path": "r/q1.csv", "q1_ds_results_host_path": "r/ds", "q1_ds_merged_output_host_path": "r/ds.csv",
+        **{f"q2_results_host_path_{w}": f"r/q2/{w}" for w in ("1h", "6h", "global")}, **{f"q2_merged_output_host_path_{w}": f"r/q2_{w}.csv" for w in ("1h", "6h", "global")}}}))
+    (tmp_path / "config" / "experiments" / "05.yml").write_text(json.dumps({"extends": "../base.yml", "experiment": {"name": "05_safe"}}))
+    for folder in ("q1", "ds/2025-01-01", "q2/1h", "q2/6h", "q2/global"):
+        (tmp_path / "r" / folder).mkdir(parents=True)
+    line = '"2025-01-01 01:00:00","2025-01-01 02:00:00",UA,1,1,0,0,1.5,0.0,0.0\n'
+    (tmp_path / "r" / "q1" / "part-0").write_text(line + line.replace("UA", "AA"))
+    (tmp_path / "r" / "ds" / "2025-01-01" / "part-0").write_text(line)
+    for rank in (10, 2):
+        (tmp_path / "r" / "q2" / "6h" / f"part-{rank}").write_text(f'"2025-01-01 06:00:00",{rank},7,40,3,1.5,60.0,"[(AA,1,60.00),(UA,2,50.00)]"\n')
+    run = lambda *a: merge_results.main([*a, "--config", str(tmp_path / "config")])
+    assert run("q1", "-e", "05") == {str(tmp_path / "r" / "q1_05_safe.csv"): 2}
+    assert run("q1_ds") == {str(tmp_path / "r" / "ds_base.csv"): 1}
+    assert run("q2") == {str(tmp_path / "r" / "q2_6h_base.csv"): 2}
+    assert [x.split(",")[2] for x in (tmp_path / "r" / "q1_05_safe.csv").read_text().splitlines()] == ["airline", "AA", "UA"]
+    ranked = (tmp_path / "r" / "q2_6h_base.csv").read_text().splitlines()
+    assert ranked[0].split(",")[:2] == ["ts", "rank"] and [x.split(",")[1] for x in ranked[1:]] == ["2", "10"]
+    at = config.write_runtime(tmp_path / "config" / "runtime", "05 safe!", tmp_path / "config" / "experiments" / "05.yml", {"dashboard": {"influx": {"enabled": True}}})
+    assert at.name == "05_safe_.full-flow.yml" and config.load(at)["dashboard"] == {"influx": {"enabled": True}} and config.load(at)["experiment"]["name"] == "05_safe"
