@@ -111,7 +111,7 @@ class Tables:
 
 class Encoder:
     #: Results of the second tier that a worker keeps, in two generations: what is not asked for in one is dropped in the next.
-    MOST_KEPT = 200_000
+    MOST_KEPT = 600_000
 
     def __init__(self, tables: Tables):
         self.t, self.pattern = tables, regex.compile(tables.pattern)
@@ -120,10 +120,12 @@ class Encoder:
         #: left id << 32 | right id -> the id of both together.
         self.pairs = {a << 32 | b: i for t, i in rank.items() for k in range(1, len(t)) if (a := rank.get(t[:k])) is not None and (b := rank.get(t[k:])) is not None}
         self.whole = None not in self.byte
-        self.kept: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        #: The rank of each pair of bytes, a row for each first one.
+        self.two = [[self.pairs.get(a << 32 | b, -1) if a is not None and b is not None else -1 for b in self.byte] for a in self.byte]
+        self.kept: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
+    def merged(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is no token itself."""
         if (found := self.kept.get(piece)) is not None:
             return found
@@ -136,14 +138,15 @@ class Encoder:
             self.kept[piece] = found
         return found
 
-    def _merged(self, piece: bytes) -> list[int]:
+    def _merged(self, piece: bytes) -> tuple[int, ...]:
         pair, n = self.pairs.get, len(piece)
         ids = list(map(self.byte.__getitem__, piece))
         if not self.whole and None in ids:
             raise KeyError(f"the vocabulary lacks a byte of {piece!r}")
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         # of each place: the rank of its pair, -1 if it has none; a heap entry with another rank is stale
-        ranks = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        two = self.two
+        ranks = [two[a][b] for a, b in zip(piece, piece[1:])]
         ranks.append(-1)
         heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
         heapify(heap)
@@ -167,7 +170,7 @@ class Encoder:
                 ranks[h] = found = pair(ids[h] << 32 | r, -1)
                 if found >= 0:
                     heappush(heap, found << 32 | h)
-        return [i for i in ids if i >= 0]
+        return tuple([i for i in ids if i >= 0])
 
     def ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has."""
