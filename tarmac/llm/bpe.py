@@ -2,7 +2,7 @@
 
 Encoding looks pre-tokens up in two tiers. A minimal perfect hash over the vocabulary (hash and displace: one displacement for each small group of keys, no empty slot) resolves every pre-token that is a token as a whole. The others are merged by rank: the bytes form a linked list of ids, a heap holds the ranks of adjacent pairs, and stale pairs are skipped, so a pre-token of n bytes takes n log n steps, whatever its length. Which pairs merge to which token is a table over the vocabulary, made once in a worker.
 
-The vocabulary is a file of (base64 token, rank) lines whose path is a parameter. The driver reads it and broadcasts the tables; they are as large as the vocabulary and do not grow with the data. Texts are encoded in slices of a few hundred KB, so memory does not follow the batch or the longest text. ``coded`` encodes and decodes in one pass of one worker.
+The vocabulary is a file of (base64 token, rank) lines whose path is a parameter. The driver reads it and broadcasts the tables; they are as large as the vocabulary and do not grow with the data. Texts are encoded in slices of a few MB, so memory does not follow the batch or the longest text. ``coded`` encodes and decodes in one pass of one worker.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; null ids in a list, ids that the vocabulary does not have and lists that are null decode to nothing; rows that repeat are encoded each; an empty table gives an empty result; columns named in ``keep`` are carried through and no others.
 """
@@ -10,10 +10,12 @@ Defined cases: a null or empty text has no ids and decodes to no bytes; null ids
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from xxhash import xxh64_intdigest
 from tarmac.llm.common import documents, small_batches
 
 #: Code points of text, and pre-tokens of one very long text, that are encoded at once.
-SLICE_CHARS, SLICE_PIECES = 1_000_000, 200_000
+SLICE_CHARS, SLICE_PIECES = 4_000_000, 800_000
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -106,7 +108,13 @@ class Tables:
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Tables:
-        return cls(vocabulary(path), pattern)
+        """Of a vocabulary file; made once for a file that stays as it is."""
+        return _read(path, pattern, os.stat(path).st_mtime_ns)
+
+
+@lru_cache(2)
+def _read(path: str, pattern: str, changed: int) -> Tables:
+    return Tables(vocabulary(path), pattern)
 
 
 class Encoder:
@@ -180,9 +188,9 @@ class Encoder:
         keys = [u.encode() for u in unique]
         found = self.t.slot_rank[self.t.hash.slots(keys)].tolist()
         tokens = self.t.tokens
-        each = [[r] if tokens[r] == k else self.merged(k) for r, k in zip(found, keys)]
+        each = [(r,) if tokens[r] == k else self.merged(k) for r, k in zip(found, keys)]
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for x in each for i in x), np.int32, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(each), np.int32, int(sizes.sum()))
         starts, n = np.cumsum(sizes) - sizes, sizes[codes]
         at = np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return flat[at], n

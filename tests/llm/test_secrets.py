@@ -67,3 +67,15 @@ def test_query(spark, sf):
         assert r.spans == say(all_spans)
         assert r.base_sha256 == hashlib.sha256(say([x for x in all_spans if x[1] < 3]).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in all_spans) for k in range(3)]
+
+
+def test_a_text_of_more_than_a_megabyte(spark):
+    """Secrets at the start, at the end and every few thousand characters between."""
+    filler = "wörd und mehr, 12 ab " * 200
+    text = "token=abcdefgh123 " + "".join(f"{filler}password: geheim{i:04d}x AKIA{'B' * 16} " for i in range(260)) + "f" * 40
+    assert len(text) > 1 << 20
+    docs = spark.createDataFrame([(1, text), (None, text), (None, "token=abcdefgh123"), (None, "none here")], "doc_id long, text string")
+    got = scanned(docs).collect()
+    assert sorted(len(r.secret_spans) for r in got) == sorted(len(brute(t)) for t in (text, text, "token=abcdefgh123", "none here"))
+    assert all([tuple(s) for s in r.secret_spans] == brute(r.text) for r in got)
+    assert all(not brute(r.text) for r in redacted(docs).collect())
