@@ -268,6 +268,47 @@ def scan_project(spark, sf_dir):
     return raw.select("event_id", "YEAR", "MONTH", "DAY_OF_MONTH", "ORIGIN_AIRPORT_ID", "DEST_AIRPORT_ID", "CRS_DEP_TIME", "DEP_DELAY", F.lit(None).cast("string").alias("ARR_DELAY"), "CANCELLED", "DIVERTED", "OP_UNIQUE_CARRIER")
 
 
+NAMES = ("YEAR", "MONTH", "DAY_OF_MONTH", "ORIGIN_AIRPORT_ID", "DEST_AIRPORT_ID", "CRS_DEP_TIME", "DEP_DELAY", "CANCELLED", "DIVERTED", "OP_UNIQUE_CARRIER")
+
+
+def _csv_folder(spark, sf_dir) -> str:
+    """The raw records as CSV files of two kinds, one with its columns in another order and one more of them."""
+    at = jobs.shared(spark)
+    raw = source.raw_records(spark, sf_dir)
+    even, odd = raw.filter("event_id % 2 = 0").select(*NAMES), raw.filter("event_id % 2 = 1").select("event_id", *reversed(NAMES))
+    for i, part in enumerate((even, odd)):
+        part.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/{i}")
+    return at
+
+
+def _counted(sql: str, columns: str) -> str:
+    return f"{sql} SELECT {columns}, count(*) AS records FROM found GROUP BY ALL"
+
+
+@query(_counted(
+    f"WITH {RAW}, found AS (SELECT y, m, d, CASE WHEN carrier IS NULL THEN NULL ELSE event_type END AS carrier, nullif(delay, '') AS delay, cancelled FROM raw)",
+    'y AS "YEAR", m AS "MONTH", d AS "DAY_OF_MONTH", carrier AS "CARRIER", delay AS "DEP_DELAY", cancelled AS "CANCELLED"',
+))
+def scan_csv(spark, sf_dir):
+    """Raw records through CSV files and ``scan``; they have no number there, so equal ones are counted."""
+    at = _csv_folder(spark, sf_dir)
+    rows = source.scan(spark, f"{at}/0").unionByName(source.scan(spark, f"{at}/1"))
+    return rows.groupBy("YEAR", "MONTH", "DAY_OF_MONTH", F.nullif(prepare.carrier(F.col("OP_UNIQUE_CARRIER")), F.lit("")).alias("CARRIER"), "DEP_DELAY", "CANCELLED").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(_counted(
+    f"""WITH {PREPARED}, found AS (SELECT epoch_us(coalesce(scheduled, month_start)) // 1000 AS event_time, CASE WHEN carrier IS NULL THEN '' ELSE event_type END AS airline, origin_airport_id, dest_airport_id, crs_dep_time,
+    round(coalesce({double_sql('delay')}, 0.0), 6) AS dep_delay, 0.0::DOUBLE AS arr_delay, coalesce({double_sql('cancelled')}, 0.0) AS cancelled, coalesce({double_sql('diverted')}, 0.0) AS diverted FROM times)""",
+    "event_time, airline, origin_airport_id, dest_airport_id, crs_dep_time, dep_delay, arr_delay, cancelled, diverted",
+))
+def prepared_csv(spark, sf_dir):
+    """The same files scanned and prepared, missing numbers as 0."""
+    at = _csv_folder(spark, sf_dir)
+    events = source.prepared(source.scan(spark, f"{at}/0").unionByName(source.scan(spark, f"{at}/1")), "zero")
+    names = ("event_time", "airline", "origin_airport_id", "dest_airport_id", "crs_dep_time", "dep_delay", "arr_delay", "cancelled", "diverted")
+    return events.groupBy(*names).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query(f"WITH {RAW}, {INTS} SELECT event_id, year, month, day_of_month, origin_airport_id, dest_airport_id, crs_dep_time FROM ints")
 def coerce_int(spark, sf_dir):
     return source.raw_records(spark, sf_dir).select("event_id", *[prepare.as_int(F.col(r)).alias(n) for r, n in RAW_INT.items()])

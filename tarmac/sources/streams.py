@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,32 @@ def end_of_stream(spark: SparkSession) -> DataFrame:
 
 
 def write_chunks(flights: DataFrame, path: str, chunk: str, chunks: int, end: bool = True) -> None:
-    """Flights as files of one stream: for each value 0.. of ``chunk`` (an expression) one file, in that order, then the end."""
-    rows = flights.select(*[F.col(f.name).cast(f.dataType) for f in VIEW], F.expr(chunk).cast("int").alias("chunk"))
-    for i in range(chunks):
-        rows.filter(F.col("chunk") == i).drop("chunk").coalesce(1).write.mode("append").parquet(path)
-    if end:
-        end_of_stream(flights.sparkSession).coalesce(1).write.mode("append").parquet(path)
+    """Flights as files of one stream in order of ``chunk`` (an expression, 0 up to ``chunks``, other rows are left out), then the end. All chunks are written by one job, side by side; a stream takes files in order of their times, so the times are set in order of the chunks."""
+    spark = flights.sparkSession
+    rows = flights.select(*[F.col(f.name).cast(f.dataType) for f in VIEW], F.expr(chunk).cast("int").alias("chunk")).filter(F.col("chunk").between(0, chunks - 1))
+    files = []
+    for batch in [rows.withColumn("file", F.col("chunk")).repartition(chunks, "chunk").sortWithinPartitions("chunk").drop("chunk")] + ([end_of_stream(spark).withColumn("file", F.lit(chunks))] if end else []):
+        at = f"{path}/.new-{uuid.uuid4().hex}"
+        batch.write.partitionBy("file").parquet(at)
+        files.append(at)
+    _publish(spark, files, path)
+
+
+def _publish(spark: SparkSession, folders: list[str], path: str) -> None:
+    """Moves the files of folders ``file=N`` into the stream's folder, later than what is there, a second apart for each N."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [s.getModificationTime() for s in fs.listStatus(at) if s.isFile()]
+    first = max([*there, int(time.time() * 1000)]) // 1000 * 1000 + 1000
+    for folder in folders:
+        for part in sorted((s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if s.isDirectory()), key=lambda p: int(p.getName().partition("=")[2])):
+            when = first + 1000 * int(part.getName().partition("=")[2])
+            for s in fs.listStatus(part):
+                if not s.getPath().getName().startswith((".", "_")):
+                    fs.setTimes(s.getPath(), when, -1)
+                    fs.rename(s.getPath(), jvm.org.apache.hadoop.fs.Path(at, s.getPath().getName()))
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def from_files(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
