@@ -46,7 +46,9 @@ def _publish(spark: SparkSession, folders: list[str], path: str) -> None:
             for s in fs.listStatus(part):
                 if not s.getPath().getName().startswith((".", "_")):
                     fs.setTimes(s.getPath(), when, -1)
-                    fs.rename(s.getPath(), jvm.org.apache.hadoop.fs.Path(at, s.getPath().getName()))
+                    # one task names its files alike in each folder
+                    if not fs.rename(s.getPath(), jvm.org.apache.hadoop.fs.Path(at, f"{part.getName()}-{s.getPath().getName()}")):
+                        raise OSError(f"can't move {s.getPath()}")
         fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
