@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.request import Request, urlopen
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tarmac.functions.prepare import csv_line
 from tarmac.operators.merge import latest
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -62,6 +65,35 @@ def kafka(servers: str, topic: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def post(url: str, lines: int = 100, tries: int = 3, wait: float = 1.0, timeout: float = 30.0) -> Callable[[DataFrame, int], None]:
+    """Posts each batch's rows as CSV lines without a header, ``lines`` at a time, from the executors. What is refused or fails is sent again, after ``wait`` seconds and then twice that; after ``tries`` the batch fails. A batch that comes again is sent again."""
+    if lines <= 0 or tries <= 0:
+        raise ValueError("lines and tries must be above 0")
+
+    def send(body: bytes) -> None:
+        for n in range(1, tries + 1):
+            try:
+                with urlopen(Request(url, body, {"Content-Type": "text/csv"}), timeout=timeout):
+                    return
+            except OSError:
+                if n == tries:
+                    raise
+                time.sleep(wait * n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for at in range(0, len(texts), lines):
+                send("".join(f"{t}\n" for t in texts[at : at + lines]).encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64())], ["sent"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = texts(batch)
+        rows.select(csv_line(*[F.col(c) for c in rows.columns]).alias("line")).mapInArrow(run, "sent long").agg(F.sum("sent")).collect()
+
+    return write
+
+
 def keyed(path: str, key: list[str], fold: int = 100) -> Callable[[DataFrame, int], None]:
     """A table under ``path`` with one row for each key: each batch is a folder of its own, written over if the batch comes again, so a restart changes nothing. Every ``fold`` batches, those before are folded into one with the last row of each key. ``read_keyed`` gives the last row of each key."""
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from tarmac.functions.windows import SIX_HOURS
 from tarmac.operators import airline_status
 from tarmac.queries import rounded
-from tarmac.schema import Q1
+from tarmac.schema import FLIGHT, Q1, RAW_DOUBLE, VIEW
 from tarmac.sources import flights as source
-from tarmac.sources import streams
+from tarmac.sources import ingest, streams
 from tarmac.sources.flights import EVENT_AIRLINES
 from tarmac.streaming import jobs, sinks
 
@@ -160,3 +160,37 @@ def test_nothing_is_produced_twice(spark, flights, tmp_path):
     n = spark.read.parquet(at).count()
     assert n == flights.count() + 1
     assert jobs.produced(flights, at, "0", 1, again=True) and spark.read.parquet(at).count() == 2 * n
+
+
+def events_of(flights):
+    """Flights as events, and the stream's end behind them."""
+    zero = [F.lit(0).alias(n) for n in ("year", "month", "day_of_month", "crs_dep_time")]
+    none = [F.lit(None).cast("double").alias(n) for n in RAW_DOUBLE.values() if n not in ("dep_delay", "cancelled", "diverted")]
+    rows = flights.select(*[F.col(f.name).cast(f.dataType) for f in VIEW]).union(streams.end_of_stream(flights.sparkSession))
+    return rows.select(F.unix_millis("rowtime").alias("event_time"), "*", *zero, *none).select(*FLIGHT.names)
+
+
+def test_over_http(spark, flights, tmp_path):
+    """Posted in lines, taken by a listener that first refuses, read as a stream."""
+    with ingest.Listener(f"{tmp_path}/topic") as listener:
+        sinks.post(listener.url, lines=37)(events_of(flights).repartition(2), 0)
+        with pytest.raises(Exception, match="404"):
+            sinks.post(listener.url + "x", tries=1)(events_of(flights).limit(1), 0)
+    files = [f for f in (tmp_path / "topic").iterdir() if not f.name.startswith(".")]
+    assert sum(f.read_text().count("\n") for f in files) == flights.count() + 1 and max(f.read_text().count("\n") for f in files) <= 37
+    got = jobs.status(streams.from_lines(spark, f"{tmp_path}/topic", 10_000), EVENT_AIRLINES)
+    sinks.to_files(got, f"{tmp_path}/out", f"{tmp_path}/checkpoint", "parquet").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(airline_status.status(flights, EVENT_AIRLINES))
+    with pytest.raises(Exception, match="(?i)refused|urlopen"):
+        sinks.post(listener.url, tries=2, wait=0.01)(flights.limit(1), 0)
+
+
+def test_runs_on_at_a_pace(spark, flights, tmp_path):
+    streams.write_chunks(flights, f"{tmp_path}/in", "event_id % 2", 2)
+    running = sinks.to_files(jobs.status(streams.from_files(spark, f"{tmp_path}/in", 9), EVENT_AIRLINES), f"{tmp_path}/out", f"{tmp_path}/checkpoint", "parquet", every="200 milliseconds")
+    try:
+        running.processAllAvailable()
+        assert running.isActive
+    finally:
+        running.stop()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(airline_status.status(flights, EVENT_AIRLINES))
