@@ -108,4 +108,25 @@ FROM files f LEFT JOIN own ON f.path = own.path LEFT JOIN folders near ON regexp
 """
 
 
-ORACLES = {"op5_licenses": licenses(), "op7_windows": WINDOWS, "op8_secrets": secrets(), "op9_suffixes": SUBSTRINGS}
+#: CRC-32 is worked out byte by byte, from a table of its polynomial.
+SHARDS = """
+WITH steps AS (
+    SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n))
+), bytes AS (
+    SELECT doc_id, coalesce('=' || source, '-') AS stratum, strlen(coalesce(text, '')) + 1 AS size,
+           list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS b
+    FROM documents
+), summed AS (
+    SELECT doc_id, stratum, size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS crc FROM bytes, steps
+), shuffled AS (
+    SELECT *, CAST('0x' || substr(md5(concat_ws('|', 42, doc_id, crc, size)), 1, 15) AS BIGINT) AS place_in FROM summed
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY stratum ORDER BY place_in, doc_id NULLS FIRST, crc, size) - 0.5 AS DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM shuffled
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY fraction, place_in, stratum, doc_id NULLS FIRST, crc, size) - 1 AS place, count(*) OVER () AS total FROM ranked
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 16 // total AS INT) AS shard, place - ((place * 16 // total) * total + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed
+"""
+
+ORACLES = {"op10_sharding": SHARDS, "op5_licenses": licenses(), "op7_windows": WINDOWS, "op8_secrets": secrets(), "op9_suffixes": SUBSTRINGS}

@@ -24,12 +24,13 @@ def interleaved(docs: DataFrame, shards: int = 16, seed: int = 42, key: str = "d
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
     )
-    # 63 bits of a seeded hash: the random order of a stratum
-    base = written(base.withColumn("order", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "text_crc32", "size"), 1)), "sharding-rows")
+    # 60 bits of a seeded hash: the random order of a stratum. MD5, so that SQL can say it too
+    order = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[F.col(c).cast("string") for c in ("key", "text_crc32", "size")]).cast("binary"))
+    base = written(base.withColumn("order", F.conv(F.substring(order, 1, 15), 16, 10).cast("long")), "sharding-rows")
     total = base.count()
     ranges = max(1, -(-total // range_rows))
 
-    cell = F.shiftright(F.shiftright("order", 32) * ranges, 31)
+    cell = F.shiftright(F.shiftright("order", 29) * ranges, 31)
     base = base.withColumn("cell", cell)
     cells = base.groupBy("stratum_key", "cell").agg(F.count(F.lit(1)).alias("n"))
     strata = cells.groupBy("stratum_key").agg(F.sum("n").alias("in_stratum"))
