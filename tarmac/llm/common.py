@@ -109,7 +109,7 @@ def _leading(text: Column, skip: int) -> Column:
 def range_block(df: DataFrame, key: str, text: str, size: int) -> tuple[Column, int]:
     """An expression for the block of ``key``, and about how many blocks there are.
 
-    Blocks follow the order of the key, then nulls first and by the beginning of their texts, and hold about ``size`` bytes of text: the keys are cut at up to ``QUANTILES`` approximate quantiles, and each stretch between two of them into equal widths. A string counts by the bytes behind what all strings begin with. One or two aggregates over keys and lengths; equal keys share a block, but for nulls.
+    Blocks follow the order of the key, then nulls first and by the beginning of their texts, and hold about ``size`` bytes of text: the keys are cut at up to ``QUANTILES`` approximate quantiles, and each stretch between two of them into equal widths. A string counts by the 7 bytes behind what all strings begin with. One or two aggregates over keys and lengths; equal keys share a block, but for nulls.
     """
     kind = df.schema[key].dataType
     k, skip = F.col(key), 0
