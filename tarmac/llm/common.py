@@ -73,6 +73,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def apart(c: Column, text: bool = False) -> Column:
+    """The same value, a number unless ``text``, in a form that the planner does not see through. A join on it puts this side into an exchange of its own even where rows lie right already; only then can adaptive execution split a hot key of the other side."""
+    return F.substring(c, 1, (1 << 31) - 1) if text else c.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,15 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import removed, written
+from tarmac.llm.common import apart, removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges`` (a, b: long) but the roots themselves. Loops and repeated edges are ignored; no edges, no rows."""
 
     def star(e: DataFrame) -> DataFrame:
-        """Each node's least neighbour, or itself if that is less. In an exchange of its own: only so can the join with it split a node of very many edges."""
-        return e.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("of"), F.least("u", "least").alias("least")).repartition("of")
+        """Each node's least neighbour, or itself if that is less; for a join that can split a node of very many edges."""
+        return e.groupBy("u").agg(F.min("v").alias("least")).select(apart(F.col("u")).alias("of"), F.least("u", "least").alias("least"))
 
     def all_stars(e: DataFrame) -> bool:
         """No node has two edges down, or one down and one up."""
@@ -39,6 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
 def least_of_class(first: DataFrame, node: str, hung: DataFrame) -> DataFrame:
     """of, component_id: for each ``node`` (long) of ``first`` the least value of its column ``first`` in the node's class; ``hung`` as from ``components``."""
     known = first.join(hung, F.col(node) == F.col("node"), "left").select(F.col(node).alias("of"), "first", F.coalesce("root", node).alias("root"))
-    # in an exchange of its own, as above: a class may have very many members
-    least = known.groupBy(F.col("root").alias("of_root")).agg(F.min("first").alias("component_id")).repartition("of_root")
+    # a class may have very many members
+    least = known.groupBy("root").agg(F.min("first").alias("component_id")).select(apart(F.col("root")).alias("of_root"), "component_id")
     return known.join(least, F.col("root") == F.col("of_root")).select("of", "component_id")

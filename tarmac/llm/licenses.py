@@ -24,7 +24,7 @@ from importlib.resources import files as resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, written
+from tarmac.llm.common import apart, documents, written
 
 # Usual licence statements, by SPDX identifier.
 TEMPLATES = (
@@ -212,9 +212,9 @@ def scanned(files: DataFrame, threshold: float = 0.6, templates: tuple[tuple[str
     folders = rows.filter("own_folder IS NOT NULL").select("own_folder").distinct().select("own_folder", F.explode(up).alias("up"))
     nearest = (
         folders.join(held, F.col("up.ancestor") == F.col("held_in"))
-        .groupBy(F.col("own_folder").alias("near_folder"))
+        .groupBy("own_folder")
         .agg(F.max(F.struct("up.depth", "held_in", "held_license", "held_similarity")).alias("near"))
-        .repartition("near_folder")  # an exchange of its own: only so can the join split a folder of very many files
+        .select(apart(F.col("own_folder"), text=True).alias("near_folder"), "near")  # a folder may have very many files
     )
     joined = rows.join(own, F.col("own_path") == F.col("of_path"), "left").join(nearest, F.col("own_folder") == F.col("near_folder"), "left")
     got, inherits = F.col("license").isNotNull(), F.col("near").isNotNull()

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import dealt, fresh, one_before, range_block, small_batches, sum_before, total_bytes, written, written_alone
+from tarmac.llm.common import apart, dealt, fresh, one_before, range_block, small_batches, sum_before, total_bytes, written, written_alone
 
 
 def test_one_before_goes_around(spark):
@@ -67,3 +67,19 @@ def test_tables_and_settings(spark):
         assert int(spark.conf.get(name)) == 8 << 20
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_side_apart_has_its_own_exchange(spark):
+    """Else adaptive execution can't split a hot key."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        for text, kind in ((False, "long"), (True, "string")):
+            rows = spark.range(100).select((F.col("id") % 7).cast(kind).alias("k"), "id").repartition(3)
+            least = rows.groupBy("k").agg(F.min("id").alias("least")).select(apart(F.col("k"), text).alias("of"), "least")
+            joined = rows.join(least, F.col("k") == F.col("of"))
+            assert "Exchange hashpartitioning(of" in joined._jdf.queryExecution().executedPlan().toString()
+            assert all(r.k == r.of and r.least == int(r.k) for r in joined.collect())
+    finally:
+        spark.conf.set(name, before)
