@@ -8,7 +8,7 @@ from tarmac.operators import airline_status
 from tarmac.queries import rounded
 from tarmac.schema import FLIGHT, Q1, RAW_DOUBLE, VIEW
 from tarmac.sources import flights as source
-from tarmac.sources import ingest, streams
+from tarmac.sources import avro, ingest, streams
 from tarmac.sources.flights import EVENT_AIRLINES
 from tarmac.streaming import jobs, sinks
 
@@ -194,3 +194,14 @@ def test_runs_on_at_a_pace(spark, flights, tmp_path):
     finally:
         running.stop()
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(airline_status.status(flights, EVENT_AIRLINES))
+
+
+def test_wire_records_as_a_stream(spark, flights, tmp_path):
+    """What a topic's values hold, here in files: decoded, watermarked and counted, by both forms of Q1."""
+    avro.encoded(events_of(flights).repartition(3), 7).write.parquet(f"{tmp_path}/topic")
+    batch = rows(airline_status.status(flights, EVENT_AIRLINES))
+    for name, query in (("sql", jobs.status), ("ds", jobs.status_by_partials)):
+        raw = spark.readStream.schema("value binary").option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/topic")
+        stream = query(streams.of_events(avro.decoded(raw)), EVENT_AIRLINES)
+        sinks.to_files(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-checkpoint", "parquet").awaitTermination()
+        assert rows(spark.read.parquet(f"{tmp_path}/{name}")) == batch
