@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import flags
 from tarmac.functions.prepare import epoch_millis
-from tarmac.operators.ordered import highest_before, numbered
+from tarmac.operators.ordered import highest_before, numbered, stretch_of
 
 DISTRIBUTIONS = ("uniform", "exponential")
 _MODULUS = 2147483648
@@ -80,19 +80,21 @@ ARRIVAL = ["arrival_ms", "not_held", "event_id"]
 
 
 def _arriving(scheduled: DataFrame) -> tuple[DataFrame, Column]:
-    return scheduled.withColumn("not_held", ~F.col("held")), F.floor(F.col("arrival_ms") / HOUR_MS)
+    rows = scheduled.withColumn("not_held", ~F.col("held"))
+    # numbers of events stay far below 2^61
+    return rows, stretch_of(rows, F.col("arrival_ms"), F.when(F.col("not_held"), F.lit(1 << 61)).otherwise(F.lit(0)) + F.col("event_id"))
 
 
 def delivered(scheduled: DataFrame) -> DataFrame:
     """With ``position``, from 1, in the order of arrival."""
-    rows, hour = _arriving(scheduled)
-    return numbered(rows, hour, ARRIVAL, "position").drop("not_held")
+    rows, stretch = _arriving(scheduled)
+    return numbered(rows, stretch, ARRIVAL, "position").drop("not_held")
 
 
 def watched(scheduled: DataFrame) -> DataFrame:
     """With ``highest_ms``: the latest event time that arrived before."""
-    rows, hour = _arriving(scheduled)
-    return highest_before(rows, hour, ARRIVAL, "event_ms", "highest_ms").drop("not_held")
+    rows, stretch = _arriving(scheduled)
+    return highest_before(rows, stretch, ARRIVAL, "event_ms", "highest_ms").drop("not_held")
 
 
 def out_of_order(scheduled: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import flags, prepare
 from tarmac.functions.windows import GLOBAL, HOUR, SIX_HOURS, tumble
 from tarmac.operators import airline_status, airport_ranking, merge, replay
-from tarmac.operators.ordered import numbered
+from tarmac.operators.ordered import numbered, stretch_of
 from tarmac.plans import dashboards, experiments
 from tarmac.schema import Q1, RAW_DOUBLE, RAW_INT
 from tarmac.sources import avro
@@ -372,7 +372,7 @@ def to_epoch_millis(spark, sf_dir):
 @query(f"WITH {PREPARED} SELECT event_id, (epoch_us(coalesce(scheduled, month_start)) // 1000) AS event_time, row_number() OVER (ORDER BY (epoch_us(coalesce(scheduled, month_start)) // 1000) NULLS FIRST, event_id) AS position FROM times")
 def stable_sort(spark, sf_dir):
     rows = _typed(spark, sf_dir).select("event_id", prepare.epoch_millis(_moment(prepare.event_time)).alias("event_time"))
-    return numbered(rows, F.floor(F.col("event_time") / replay.HOUR_MS), ["event_time", "event_id"], "position")
+    return numbered(rows, stretch_of(rows, F.col("event_time"), F.col("event_id")), ["event_time", "event_id"], "position")
 
 
 @query("SELECT min((epoch_us(ts) // 1000)) AS first_ms, max((epoch_us(ts) // 1000)) AS last_ms, round((max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000))) / 86400000.0::DOUBLE, 6) AS span_days FROM events")

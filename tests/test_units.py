@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarmac import config
 from tarmac.functions import prepare, windows
 from tarmac.operators import airline_status, airport_ranking, merge, replay
-from tarmac.operators.ordered import highest_before, numbered
+from tarmac.operators.ordered import highest_before, numbered, stretch_of
 from tarmac.plans import dashboards, experiments
 from tarmac.schema import FLIGHT, Q1, Q2, RAW, RAW_DOUBLE
 from tarmac.sources import avro
@@ -256,3 +256,23 @@ def test_merge_command(spark, tmp_path):
     assert ranked[0].split(",")[:2] == ["ts", "rank"] and [x.split(",")[1] for x in ranked[1:]] == ["2", "10"]
     at = config.write_runtime(tmp_path / "config" / "runtime", "05 safe!", tmp_path / "config" / "experiments" / "05.yml", {"dashboard": {"influx": {"enabled": True}}})
     assert at.name == "05_safe_.full-flow.yml" and config.load(at)["dashboard"] == {"influx": {"enabled": True}} and config.load(at)["experiment"]["name"] == "05_safe"
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 64, 4000])
+def test_stretches_split_a_common_time(spark, pieces):
+    """A third of the rows at one time, some without a time; stretches follow the order and stay small."""
+    rows = [(i * 7919 % 5000, i) for i in range(800)] + [(2500, 1000 + i) for i in range(600)] + [(None, 3000 + i) for i in range(400)] + [(1, None)]
+    df = spark.createDataFrame(rows, "v long, id long").repartition(3)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0)
+    stretch = stretch_of(df, F.col("v"), F.col("id"), pieces)
+    got = sorted(df.withColumn("s", stretch).collect(), key=order)
+    assert [r.s for r in got] == sorted(r.s for r in got)
+    counts = {}
+    for r in got:
+        counts[r.s] = counts.get(r.s, 0) + 1
+    if pieces >= 64:
+        assert max(counts.values()) < 100
+    numbers = {(r.v, r.id): r.n for r in numbered(df, stretch, ["v", "id"], "n").collect()}
+    assert numbers == {r: i + 1 for i, r in enumerate(sorted(rows, key=order))}
+    empty = df.limit(0)
+    assert numbered(empty, stretch_of(empty, F.col("v"), F.col("id")), ["v", "id"], "n").count() == 0
