@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions import flags
+from tarmac.functions import bounded, flags
 from tarmac.functions.windows import tumble
 
 LISTED, RANKED, LEAST = 20, 10, 30
@@ -39,40 +39,36 @@ def airports(flights: DataFrame, size: str, least: int = LEAST) -> DataFrame:
     return tumble(_completed(flights), size, ["origin_airport_id"], numbers()).filter(F.col("num_flights") >= least)
 
 
-def worst(flights: DataFrame, size: str, listed: int = LISTED, of: DataFrame | None = None) -> DataFrame:
-    """window_start, origin_airport_id, delayed_flights; only of the windows' airports in ``of``, if given. Flights are ranked before they are gathered, and only severe ones are, so no group gathers more than ``listed``; each delay is first cut down within slices of an airport, lest a large airport's window be sorted in one task."""
-    rows = _completed(flights).filter(_entry().isNotNull()).select(F.window("rowtime", size)["start"].alias("window_start"), "origin_airport_id", _entry().alias("entry"), F.pmod(F.hash("event_id"), F.lit(16)).alias("slice"))
-    key = ["window_start", "origin_airport_id"]
-    if of is not None:
-        rows = rows.join(of.select(*key), key, "left_semi")
-    for part in (["slice"], []):
-        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*key, *part).orderBy("entry"))).filter(F.col("n") <= listed)
-    return rows.groupBy(*key).agg(delay_list(F.array_sort(F.collect_list("entry"))).alias("delayed_flights"))
+def worst(flights: DataFrame, size: str, listed: int = LISTED) -> DataFrame:
+    """window_start, origin_airport_id, delayed_flights, of airports with severe delays. No group holds more than ``listed`` of them."""
+    rows = _completed(flights).withColumn("entry", _entry()).filter("entry IS NOT NULL")
+    return tumble(rows, size, ["origin_airport_id"], [delay_list(bounded.least(F.col("entry"), listed)).alias("delayed_flights")]).drop("window_end")
 
 
 def _order() -> list[Column]:
     return [F.desc("severe_delays"), F.desc(F.coalesce("dep_delay_mean", F.lit(0.0))), F.asc("origin_airport_id")]
 
 
+def _listed(flights: DataFrame, size: str, least: int, listed: int) -> DataFrame:
+    """Stage one with the list, in one aggregate."""
+    grouped = _completed(flights).groupBy(F.window("rowtime", size).alias("window"), "origin_airport_id")
+    return grouped.agg(*numbers(), delay_list(bounded.least(_entry(), listed)).alias("delayed_flights")).filter(F.col("num_flights") >= least)
+
+
 def ranking(flights: DataFrame, size: str, least: int = LEAST, ranked: int = RANKED, listed: int = LISTED) -> DataFrame:
-    """ts, airport_rank 1.., and stage one's columns: batch. Airports are ranked first, and flights are listed of the ranked ones only; their number is known by then, so the plan can broadcast them if they are few."""
-    rank = F.row_number().over(Window.partitionBy("window_start").orderBy(*_order()))
-    top = airports(flights, size, least).withColumn("airport_rank", rank.cast("long")).filter(F.col("airport_rank") <= ranked)
-    return top.join(worst(flights, size, listed, top), ["window_start", "origin_airport_id"], "left").select(
-        F.col("window_start").alias("ts"), "airport_rank", "origin_airport_id", "num_flights", "severe_delays", "dep_delay_mean", "dep_delay_max",
-        F.coalesce("delayed_flights", F.lit("[]")).alias("delayed_flights"),
-    )
+    """ts, airport_rank 1.., and stage one's columns: batch. Flights are shuffled once, as one row for each airport and window of a task."""
+    rank = F.row_number().over(Window.partitionBy("window").orderBy(*_order()))
+    top = _listed(flights, size, least, listed).withColumn("airport_rank", rank.cast("long")).filter(F.col("airport_rank") <= ranked)
+    return top.select(F.col("window.start").alias("ts"), "airport_rank", "origin_airport_id", "num_flights", "severe_delays", "dep_delay_mean", "dep_delay_max", "delayed_flights")
 
 
 def ranking_stream(flights: DataFrame, size: str, least: int = LEAST, ranked: int = RANKED, listed: int = LISTED) -> DataFrame:
-    """The same of a watermarked stream, where row numbers are not allowed: a second aggregation over the closed window sorts its airports. Also right on batch."""
-    entries = F.slice(F.array_sort(F.collect_list(_entry())), 1, listed)
-    first = _completed(flights).groupBy(F.window("rowtime", size).alias("window"), "origin_airport_id").agg(*numbers(), delay_list(entries).alias("delayed_flights"))
+    """The same of a watermarked stream, where row numbers are not allowed: a second aggregation over the closed window sorts its airports. State holds ``listed`` delays of an airport and ``ranked`` airports of a window. Also right on batch."""
     airport = F.struct(
         (-F.col("severe_delays")).alias("a"), (-F.coalesce("dep_delay_mean", F.lit(0.0))).alias("b"), "origin_airport_id",
         "num_flights", "severe_delays", "dep_delay_mean", "dep_delay_max", "delayed_flights",
     )
-    second = first.filter(F.col("num_flights") >= least).groupBy("window").agg(F.slice(F.array_sort(F.collect_list(airport)), 1, ranked).alias("top"))
+    second = _listed(flights, size, least, listed).groupBy("window").agg(bounded.least(airport, ranked).alias("top"))
     return second.select(F.col("window.start").alias("ts"), F.posexplode("top").alias("at", "x")).select(
         "ts", (F.col("at") + 1).cast("long").alias("airport_rank"), "x.origin_airport_id", "x.num_flights", "x.severe_delays", "x.dep_delay_mean", "x.dep_delay_max", "x.delayed_flights"
     )

@@ -276,3 +276,24 @@ def test_stretches_split_a_common_time(spark, pieces):
     assert numbers == {r: i + 1 for i, r in enumerate(sorted(rows, key=order))}
     empty = df.limit(0)
     assert numbered(empty, stretch_of(empty, F.col("v"), F.col("id")), ["v", "id"], "n").count() == 0
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_least_values(spark, known, monkeypatch):
+    from tarmac.functions import bounded
+
+    if not known:
+        monkeypatch.setattr(bounded, "_known", lambda *_: None)
+    rows = [(i % 4, i * 37 % 101 if i % 5 else None) for i in range(200)] + [(9, None)]
+    df = spark.createDataFrame(rows, "g int, v int").repartition(3)
+    got = {r.g: r.least for r in df.groupBy("g").agg(bounded.least(F.struct((-F.col("v")).alias("o"), "v"), 6).alias("x")).select("g", F.col("x.v").alias("least")).collect()}
+    whole = df.groupBy("g").agg(bounded.least(F.when(F.col("v").isNotNull(), F.struct((-F.col("v")).alias("o"), "v")), 6).alias("x")).select("g", F.col("x.v").alias("least"))
+    assert {r.g: r.least for r in whole.collect()} == {g: sorted((v for q, v in rows if q == g and v is not None), reverse=True)[:6] for g in {q for q, _ in rows}}
+    assert len(got) == 5
+
+
+def test_spark_has_the_bounded_aggregate(spark):
+    """Else rankings gather all delays of a window."""
+    from tarmac.functions import bounded
+
+    assert bounded._known(F.col("id"), 3) is not None
