@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stretches that are summed up in one task.
-_GROUP = 4096
+#: Of so many bits' stretches the totals are summed up in one task.
+_GROUP_BITS = 12
 #: Cuts at most, in all and within one time.
 _PIECES, _WITHIN = 4_000, 1 << 20
 _NONE = -(1 << 62)
@@ -54,7 +54,8 @@ def stretch_of(df: DataFrame, time: Column, tie: Column, pieces: int | None = No
 
 def _before(totals: DataFrame, combine, value: str) -> DataFrame:
     """of, before: ``combine`` of ``value`` over all smaller stretches, in two levels."""
-    coarse = totals.withColumn("group", F.floor(F.col("of") / _GROUP))
+    # a shift, not a division, which might be null: a test for that would work out each row's stretch once more, far below
+    coarse = totals.withColumn("group", F.shiftright("of", _GROUP_BITS))
     groups = coarse.groupBy("group").agg(combine(value).alias("of_group"))
     earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("group", combine("of_group").over(earlier).alias("before_group"))
