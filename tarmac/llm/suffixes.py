@@ -1,10 +1,12 @@
 """Suffix-array dedup: byte strings of ``length`` (50) that also start in a document of smaller id are removed.
 
-Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. Documents are taken in blocks, dealt by a hash of id and text, so blocks are of like size whatever the ids are. In a first round a block asks for each of its keys, a row each; a Spark aggregate finds those that two blocks ask for, and they come back. In a second round blocks send the runs of repeated keys, each different run once and with the least id that has it, to the bucket of the key, so that all occurrences of a window meet in one bucket. The runs of a key that more than ``hot`` blocks ask for (such as blanks, or a phrase that a third of all documents have between different words) are sent window by window instead, dealt by the window itself.
+Only text that can repeat is sorted. Each window of 50 bytes has a key, the least hash of its 20-byte grams; neighbouring windows of one key form a run, about 15 windows long, and equal windows have equal keys. Documents are taken in blocks, dealt by a hash of id and text, so blocks are of like size whatever the ids are. In a first round a block asks for each of its keys, a row each; a Spark aggregate finds those that two blocks ask for, and they come back. In a second round blocks send the runs of repeated keys, each different run once and with the least id that has it, to the bucket of the key, so that all occurrences of a window meet in one bucket. The runs of a key that has more than about ``hot`` different ones (such as a phrase that a third of all documents have between different words) are sent window by window instead, dealt by the window itself. Each block counts its different runs of a key in steps of ``STEP``, so what makes a key hot is how much would meet in its bucket, not how many blocks there are.
 
-A bucket is taken in shards of bounded size. In each shard a suffix array over its runs is made by Larsson-Sadakane refinement: suffixes are sorted by a few symbols, then only groups not yet told apart are sorted again by the ranks of what follows, twice as deep each time. Kasai's common prefixes of neighbours, computed for the irreducible ones and carried on to the others, cut the array into classes of equal windows. Across shards, classes are merged one shard after the other, by binary search of a shard's class strings among those merged so far. A window is removed if its class has a document of smaller id; one bit for each window goes back to its block.
+A bucket holds one shelf of keys or, where a block would have more than ``rows`` buckets to write to, several, which are sorted one after the other; so a block's rows stay as large, and as many, however large the table is. From ``rows`` times ``SHELVES`` shelves on (65 GB of text) rows shrink instead, as a bucket is in one task's memory.
 
-A passage that a third of all documents share is sent once by each block, however many documents have it. A block has a row for each of its keys in the first round and at most one in the second, so rows grow with the input. The documents are shuffled once and all three passes read that exchange.
+A shelf is taken in shards of bounded size. In each shard a suffix array over its runs is made by Larsson-Sadakane refinement: suffixes are sorted by a few symbols, then only groups not yet told apart are sorted again by the ranks of what follows, twice as deep each time. Kasai's common prefixes of neighbours, computed for the irreducible ones and carried on to the others, cut the array into classes of equal windows. Across shards, classes are merged one shard after the other, by binary search of a shard's class strings among those merged so far. A window is removed if its class has a document of smaller id; one bit for each window goes back to its block.
+
+A passage that a third of all documents share is sent once by each block, however many documents have it. A block has a row for each of its keys in the first round, one more for each ``STEP`` different runs of a key, and at most one for a key in the second, so rows grow with the input. The documents are shuffled once and all three passes read that exchange.
 
 Equality of windows is by their bytes; hashes only group and deal. Matches never cross documents.
 
@@ -64,8 +66,10 @@ def unpacked(data: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=count).view(bool)
 
 
-#: Bytes that are hashed at once; bytes of runs in a shard at most; bytes of input for each bucket of runs, few enough for a suffix array to stay in the caches.
+#: Bytes that are hashed at once; bytes of runs in a shard at most; bytes of input for each shelf of runs, few enough for a suffix array to stay in the caches.
 SLICE, SHARD, SHELF = 1 << 18, 1_500_000, 500_000
+#: Shelves in a bucket at most; different runs of a key in a block that count as one more row.
+SHELVES, STEP = 64, 8
 GRAM = 20
 
 
@@ -155,7 +159,7 @@ def common_prefixes(text: np.ndarray, rest: np.ndarray, sa: np.ndarray) -> np.nd
 
 
 class Runs:
-    """The runs of some documents, in order: document, offset in it, windows, key."""
+    """The runs of some documents, in order: document, offset in it, windows, key, and a hash of the whole."""
 
     def __init__(self, texts: list[bytes], length: int):
         self.texts, self.length, gram = texts, length, min(GRAM, length)
@@ -201,7 +205,7 @@ class Runs:
             end = edge[np.searchsorted(edge, start, side="right")]
             of = np.searchsorted(base, start, side="right") - 1
             # least hashes are small numbers; mixed once more they spread over the buckets
-            parts.append((some_d[of], start - base[of] + some_a[of], end - start, _mixed(g[start])))
+            parts.append((some_d[of], start - base[of] + some_a[of], end - start, _mixed(g[start]), _mixed((total[end + length - 1] - total[start]) * up[start])))
 
         for d, t in enumerate(texts):
             for a in range(0, len(t) - length + 1, SLICE):
@@ -211,8 +215,15 @@ class Runs:
                 if held >= SLICE:
                     flush()
         flush()
-        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        self.doc, self.at, self.windows, self.key = (np.concatenate([p[i] for p in parts] or [empty[i]]) for i in range(4))
+        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        self.doc, self.at, self.windows, self.key, self.whole = (np.concatenate([p[i] for p in parts] or [empty[i]]) for i in range(5))
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys; and a key again for each ``STEP`` different runs that it has."""
+        different = ~pd.Series(self.whole).duplicated().to_numpy()
+        counts = pd.Series(self.key[different]).value_counts(sort=False)
+        keys = counts.index.to_numpy()
+        return keys, np.repeat(keys, counts.to_numpy() // STEP)
 
     def strings(self, doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> list[bytes]:
         more = self.length - 1
@@ -221,9 +232,9 @@ class Runs:
 
 
 class Offer:
-    """The different strings of a block's chosen runs, in order of their buckets and then of first occurrence; each window of a hot run is a string of its own."""
+    """The different strings of a block's chosen runs, in order of their shelves and then of first occurrence; each window of a hot run is a string of its own. A bucket is ``together`` shelves."""
 
-    def __init__(self, runs: Runs, chosen: np.ndarray, hot: np.ndarray, buckets: int):
+    def __init__(self, runs: Runs, chosen: np.ndarray, hot: np.ndarray, shelves: int, together: int):
         plain, split = np.flatnonzero(chosen & ~hot), np.flatnonzero(chosen & hot)
         n = runs.windows[split]
         doc = np.concatenate([runs.doc[plain], np.repeat(runs.doc[split], n)])
@@ -231,13 +242,14 @@ class Offer:
         windows = np.concatenate([runs.windows[plain], np.ones(int(n.sum()), np.int64)])
         strings = runs.strings(doc, at, windows)
         dealt = np.concatenate([runs.key[plain], np.array([xxh64_intdigest(s) for s in strings[len(plain) :]], np.uint64)])
-        bucket = (((dealt >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((at, doc, bucket))
-        self.doc, self.at, self.windows, bucket = doc[order], at[order], windows[order], bucket[order]
+        shelf = (((dealt >> np.uint64(32)) * np.uint64(shelves)) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((at, doc, shelf))
+        self.doc, self.at, self.windows, shelf = doc[order], at[order], windows[order], shelf[order]
         self.code, self.different = pd.factorize(np.array([*[strings[i] for i in order.tolist()], None], dtype=object)[:-1]) if strings else (np.zeros(0, np.int64), np.zeros(0, object))
-        # equal strings have equal buckets, so codes rise from bucket to bucket
+        # equal strings have equal shelves, so codes rise from shelf to shelf
         self.first = np.flatnonzero(~pd.Series(self.code).duplicated().to_numpy())
-        self.buckets, starts = np.unique(bucket[self.first], return_index=True)
+        self.buckets, starts = np.unique(shelf[self.first] // together, return_index=True)
+        self.shelf = (shelf[self.first] % together).astype(np.uint8)  # within the bucket
         self.starts = np.append(starts, len(self.first))  # where each bucket's strings start among the different ones
 
 
@@ -298,14 +310,20 @@ def _found(known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, (known[np.minimum(at, len(known) - 1)] == names) & (at < len(known)) if len(known) else np.zeros(len(names), bool)
 
 
+def layout(total: int, shelf: int, rows: int) -> tuple[int, int]:
+    """Shelves for ``total`` bytes, and how many of them share a bucket: as few as leave a block at most ``rows`` buckets."""
+    shelves = max(1, -(-total // shelf))
+    return shelves, min(SHELVES, -(-shelves // rows))
+
+
 def _own_bits(chosen: np.ndarray, hot: np.ndarray) -> bytes:
     return packed(np.concatenate([chosen, hot]))
 
 
-def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD, hot: int = 200) -> DataFrame:
+def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", block_bytes: int = 8_000_000, shard: int = SHARD, hot: int = 20_000, shelf: int = SHELF, rows: int = 2048) -> DataFrame:
     """key, n_bytes, n_removed, intervals (array of start, end in bytes), kept (binary)."""
     total, kind = total_bytes(docs, text), docs.schema[key].dataType
-    blocks, shelves = max(1, -(-total // block_bytes)), max(1, -(-total // SHELF))
+    blocks, (shelves, together) = max(1, -(-total // block_bytes)), layout(total, shelf, rows)
     placed = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), dealt([F.col(key), F.xxhash64(text)], blocks).alias("block"))
 
     def read(table: pa.Table) -> tuple[int, pa.Table, list[bytes], Runs]:
@@ -315,8 +333,9 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
 
     def ask(table: pa.Table) -> pa.Table:
         block, _, _, runs = read(table)
-        keys = pd.unique(runs.key)
-        return pa.table({"block": pa.array(np.full(len(keys), block), pa.int64()), "asked": pa.array(keys.view(np.int64))})
+        keys, again = runs.asked()
+        # rows that only count have a block below 0
+        return pa.table({"block": pa.array(np.repeat([block, -1], [len(keys), len(again)]), pa.int64()), "asked": pa.array(np.concatenate([keys, again]).view(np.int64))})
 
     def offer(table: pa.Table, known: pa.Table) -> pa.Table:
         block, own, _, runs = read(table)
@@ -324,18 +343,19 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         asked = of_key.reindex(runs.key)
         chosen = asked.notna().to_numpy() | pd.Series(runs.key).duplicated(keep=False).to_numpy()
         is_hot = asked.fillna(False).to_numpy().astype(bool)
-        offered = Offer(runs, chosen, is_hot, shelves)
+        offered = Offer(runs, chosen, is_hot, shelves, together)
         least = own.column("key").combine_chunks().take(pa.array(offered.doc[offered.first]))
         squeeze = zstandard.ZstdCompressor(level=1)
-        sizes, strings = [], []
+        sizes, shelf_of, strings = [], [], []
         for lo, hi in zip(offered.starts[:-1], offered.starts[1:]):
             some = offered.different[lo:hi]
             sizes.append(np.array([len(s) for s in some], np.uint32).tobytes())
+            shelf_of.append(np.bincount(offered.shelf[lo:hi], minlength=together).astype(np.uint32).tobytes() if together > 1 else b"")
             strings.append(squeeze.compress(b"".join(some)))
         # a row that settles nothing tells the last pass which runs were chosen
         n = len(offered.buckets)
         return pa.table({
-            "block": pa.array(np.full(n + 1, block), pa.int64()), "bucket": pa.array([*offered.buckets.tolist(), -1 - block], pa.int64()), "sizes": pa.array([*sizes, b""], pa.binary()),
+            "block": pa.array(np.full(n + 1, block), pa.int64()), "bucket": pa.array([*offered.buckets.tolist(), -1 - block], pa.int64()), "sizes": pa.array([*sizes, b""], pa.binary()), "shelves": pa.array([*shelf_of, b""], pa.binary()),
             "keys": pa.ListArray.from_arrays(pa.array([*offered.starts.tolist(), int(offered.starts[-1])], pa.int32()), least), "strings": pa.array([*strings, _own_bits(chosen, is_hot)], pa.binary()),
         })
 
@@ -343,19 +363,24 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         if table.column("bucket")[0].as_py() < 0:
             return table.select(["block", "bucket", "strings"]).rename_columns(["block", "bucket", "flags"])
         strings: list[bytes] = []
-        counts = []
-        for sizes, squeezed in zip(table.column("sizes").to_pylist(), table.column("strings").to_pylist()):
+        counts, places = [], []
+        for sizes, shelf_of, squeezed in zip(*(table.column(c).to_pylist() for c in ("sizes", "shelves", "strings"))):
             sizes = np.frombuffer(sizes, np.uint32)
             body, ends = zstandard.ZstdDecompressor().decompress(squeezed), np.cumsum(sizes).tolist()
             strings += [body[a:b] for a, b in zip([0, *ends], ends)]
             counts.append(len(sizes))
+            places.append(np.repeat(np.arange(together), np.frombuffer(shelf_of, np.uint32)) if together > 1 else np.zeros(len(sizes), np.int64))
         orders = _ranks(pa.concat_arrays([c.flatten() for c in table.column("keys").chunks]))
         code, _ = pd.factorize(np.array([*strings, None], dtype=object)[:-1])
         least = np.full(int(code.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, orders)
-        pick = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())
-        bits, windows = settled([strings[i] for i in pick], least, length, shard)
-        starts = np.cumsum(windows) - windows
+        pick = np.flatnonzero(~pd.Series(code).duplicated().to_numpy())  # by code
+        of = np.concatenate(places)[pick]
+        by_shelf = np.argsort(of, kind="stable")
+        parts = [settled([strings[i] for i in pick[some]], least[some], length, shard) for some in np.split(by_shelf, np.flatnonzero(np.diff(of[by_shelf])) + 1)]
+        bits, ordered = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        starts, windows = np.empty(len(pick), np.int64), np.empty(len(pick), np.int64)
+        starts[by_shelf], windows[by_shelf] = np.cumsum(ordered) - ordered, ordered
         # where a smaller id has the whole string, all its windows are repeats
         answer = bits[_ragged(starts[code], windows[code])] | np.repeat(orders != least[code], windows[code])
         ends = np.concatenate([[0], np.cumsum(windows[code])])[np.cumsum([0, *counts])]
@@ -369,7 +394,7 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
         step = np.zeros(int(base[-1]) + 1, np.int32)
         (told,) = [v for k, v in found.items() if k < 0] or [_own_bits(np.zeros(len(runs.key), bool), np.zeros(len(runs.key), bool))]
         both = unpacked(told, 2 * len(runs.key))
-        offered = Offer(runs, both[: len(runs.key)], both[len(runs.key) :], shelves)
+        offered = Offer(runs, both[: len(runs.key)], both[len(runs.key) :], shelves, together)
         if len(offered.code):
             windows = offered.windows[offered.first]  # of each different string
             starts = np.concatenate([[0], np.cumsum(windows)])
@@ -402,10 +427,12 @@ def deduplicated_substrings(docs: DataFrame, length: int = 50, key: str = "doc_i
     by_block = placed.groupBy("block")
     # shuffled once: the count and the join back read the same exchange
     asked = by_block.applyInArrow(ask, T.StructType([long("block"), long("asked")])).repartition("asked")
-    shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min("block").alias("one"), F.max("block").alias("other"), F.count(F.lit(1)).alias("blocks"))
-    shared = shared.filter("one < other").select("shared", (F.col("blocks") > hot).alias("many"))
-    known = asked.join(shared, F.col("asked") == F.col("shared")).select("block", "asked", "many")
-    offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, T.StructType([long("block"), long("bucket"), binary("sizes"), T.StructField("keys", T.ArrayType(kind)), binary("strings")]))
+    a_block = F.col("block") >= 0
+    shared = asked.groupBy(F.col("asked").alias("shared")).agg(F.min(F.when(a_block, F.col("block"))).alias("one"), F.max("block").alias("other"), F.sum(F.when(a_block, 1).otherwise(STEP)).alias("runs"))
+    shared = shared.filter("one < other").select("shared", "one", (F.col("runs") > hot).alias("many"))
+    # rows that only count go by a condition on both sides: the planner would filter below the exchange, and make it twice
+    known = asked.join(shared, (F.col("asked") == F.col("shared")) & (F.col("block") >= F.col("one"))).select("block", "asked", "many")
+    offers = by_block.cogroup(known.groupBy("block")).applyInArrow(offer, T.StructType([long("block"), long("bucket"), binary("sizes"), binary("shelves"), T.StructField("keys", T.ArrayType(kind)), binary("strings")]))
     flags = offers.groupBy("bucket").applyInArrow(settle, T.StructType([long("block"), long("bucket"), binary("flags")]))
     return by_block.cogroup(flags.groupBy("block")).applyInArrow(remove, out).withColumnRenamed("key", key)
 

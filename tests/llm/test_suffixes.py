@@ -119,3 +119,35 @@ def test_any_ids(spark, ids):
     want = [(n, m, s, t) for _, n, m, s, t in brute([(place.get(k), t.encode()) for k, t in zip(keys, texts)], 20)]
     assert sorted((r.n_bytes, r.n_removed, len(r.intervals), bytes(r.kept)) for r in got) == sorted(want)
     assert ids == "none" or any(w[1] for w in want)
+
+
+def test_a_key_is_hot_by_its_runs_not_by_blocks():
+    """A phrase once in each of very many blocks is little in a bucket; between different words many times in a block it counts again."""
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase = say(60)
+    once, again = Runs([(say(200) + phrase + say(200)).encode(), (phrase * 40).encode()], 50).asked()
+    assert len(set(once.tolist())) == len(once) and len(again) == 0
+    keys, again = Runs([(say(90) + phrase[:40] + say(90)).encode() for _ in range(200)], 50).asked()
+    most = np.unique(again, return_counts=True)[1].max()
+    assert len(set(keys.tolist())) == len(keys) and 100 // 8 <= most <= 400 // 8
+
+
+@pytest.mark.parametrize("size", [10**6, 10**9, 10**10, 6 * 10**10])
+def test_a_block_has_few_buckets_to_write_to(size):
+    from tarmac.llm.suffixes import SHELF, layout
+
+    shelves, together = layout(size, SHELF, 2048)
+    assert shelves * SHELF >= size and -(-shelves // together) <= 2048 and together <= 64
+
+
+@pytest.mark.parametrize("hot", [0, 20_000])
+def test_buckets_of_several_shelves(spark, hot):
+    rng = random.Random(18)
+    say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    common = [say(90) for _ in range(12)]
+    texts = [say(rng.randrange(60)) + rng.choice(common)[rng.randrange(20) :] + say(9) + rng.choice(common) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = deduplicated_substrings(docs, 25, block_bytes=1500, hot=hot, shelf=300, rows=3).collect()
+    want = brute([(k, t.encode()) for k, t in enumerate(texts)], 25)
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, len(r.intervals), bytes(r.kept))) for r in got) == sorted(map(str, want))
