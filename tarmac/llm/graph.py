@@ -36,6 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def hung_low(edges: DataFrame) -> DataFrame:
+    """Edges (a, b: long) of the same components, fewer where many nodes share their ``b``: an ``a`` and all its ``b`` are hung on the least of them. A row holds all ``b`` of an ``a``, so these should be few; how many ``a`` a ``b`` has doesn't matter."""
+    ends = edges.groupBy("a").agg(F.collect_set("b").alias("ends")).select(F.array_union(F.array("a"), "ends").alias("ends"))
+    return ends.select(F.explode("ends").alias("a"), F.array_min("ends").alias("b")).filter("a <> b")
+
+
 def least_of_class(first: DataFrame, node: str, hung: DataFrame) -> DataFrame:
     """of, component_id: for each ``node`` (long) of ``first`` the least value of its column ``first`` in the node's class; ``hung`` as from ``components``."""
     known = first.join(hung, F.col(node) == F.col("node"), "left").select(F.col(node).alias("of"), "first", F.coalesce("root", node).alias("root"))
